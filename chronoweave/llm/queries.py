@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.duplicates import copies, distinct_records
 from chronoweave.llm.lookalikes import canonical_values, odd_rows
+from chronoweave.llm.names import people
 from chronoweave.sources.tables import table
 
 EXACT = ["program_code", "course", "group_code", "stream_code", "week_number", "weekday", "start_time", "end_time", "lesson_type", "half"]
@@ -35,7 +36,22 @@ def p5_forms(spark: SparkSession, directory: str) -> DataFrame:
     return canonical_values(table(spark, directory, "schedule_event"), LOOKS)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms)}
+def p6_people(spark: SparkSession, directory: str) -> DataFrame:
+    """Every rule that names a person, with the person and the number of other rules linked to it."""
+    rows = people(table(spark, directory, "manual_rule"), "rule_id", "chair_code", "teacher")
+    size = rows.groupBy("person").agg((F.count("*") - 1).alias("links"))
+    return rows.join(size, "person").select("rule_id", "chair_code", "person", "links")
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Every pair of rules of a chair that mean the same person."""
+    rows = people(table(spark, directory, "manual_rule"), "rule_id", "chair_code", "teacher")
+    one = rows.select("person", F.col("rule_id").alias("rule_id_a"))
+    other = rows.select("person", F.col("rule_id").alias("rule_id_b"))
+    return one.join(other, "person").where("rule_id_a < rule_id_b").select("rule_id_a", "rule_id_b")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found)}
 
 
 def _bare_sql(c: str) -> str:
