@@ -17,7 +17,7 @@ from chronoweave.operators.components import connected_components, shared_folder
 EDITS = 3
 
 # Titles before a name.
-TITLES = r"(?:профессор|проф|доцент|доц|ассистент|асс|старший|ст|преподаватель|преп|академик|акад|зав|каф|к|д|м|н|канд|докт|мед|наук)"
+TITLES = r"(?:профессор|проф|доцент|доц|ассистент|асс|старший|ст|преподаватель|преп|академик|акад|зав|каф|канд|докт|мед|наук|[кд]\s?[.]?\s?м\s?[.]?\s?н)"
 # Words that stand where a name should.
 STAND_INS = {"вакансия", "вакант", "вакантно", "назначению", "назначен", "назначена", "назначается", "преподаватель", "преподаватели", "кафедры", "кафедра", "уточняется", "нет", "неизвестно", "неизвестен", "сотрудник", "сотрудники", "почасовик", "замена", "дежурный", "tba", "tbd", "none", "null"}
 # Given names, and short forms with the given names they stand for.
@@ -27,7 +27,7 @@ SHORT = "аня:анна ася:анастасия боря:борис вади
 _GIVEN = set(GIVEN.split())
 _SHORT = dict(x.split(":") for x in SHORT.split())
 _PATRONYMIC = re.compile(r"(?:ович|евич|ьич|овна|евна|ична|инична)$")
-_TITLE = re.compile(rf"^(?:{TITLES}[.:,\s]+)+", re.IGNORECASE)
+_TITLE = re.compile(rf"^(?:{TITLES}[.:,\s]+)+")
 _WORD = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)(\.?)(,?)")
 
 
@@ -98,6 +98,8 @@ def parse_name(text: str | None) -> tuple[str, str, str] | None:
     while (cut := _TITLE.sub("", low)) != low and _WORD.search(cut):
         low = cut
     words = [(w, bool(dot), bool(comma)) for w, dot, comma in _WORD.findall(low)]
+    # Two letters written together are two initials.
+    words = [(part, dot, comma) for w, dot, comma in words for part in (w if len(w) == 2 and w not in _FULL else [w])]
     if not words or any(w in STAND_INS for w, _, _ in words):
         return None
     given = patronymic = ""
