@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.llm.bpe import token_counts, token_ids
 from chronoweave.llm.duplicates import copies, distinct_records
 from chronoweave.llm.lookalikes import canonical_values, odd_rows
+from chronoweave.llm.mixing import mix
 from chronoweave.llm.names import people
 from chronoweave.sources.tables import table
 
@@ -51,7 +53,27 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return one.join(other, "person").where("rule_id_a < rule_id_b").select("rule_id_a", "rule_id_b")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found)}
+def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with the ids of its whole text by byte_bpe_50k."""
+    return token_ids(table(spark, directory, "documents"), "text", ["doc_id"])
+
+
+def _mixed(spark: SparkSession, directory: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    counted = token_counts(table(spark, directory, "documents"), "text", ["doc_id", "source"])
+    return mix(counted, "doc_id", "source", "tokens", table(spark, directory, "mix_target"), total)
+
+
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents that make up the mixture, with their repeats."""
+    return _mixed(spark, directory)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """What each source holds in the mixture, against its target."""
+    return _mixed(spark, directory)[1]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found, p7_ids, p8_mix, p8_shares)}
 
 
 def _bare_sql(c: str) -> str:
