@@ -24,10 +24,19 @@ TWICE = ("cp1252", "latin-1", "cp1251")
 LOST = ("c1", "?", "�", "")
 #: Words are runs of letters, of anything outside ASCII, and of question marks (which may stand for lost bytes).
 WORD = r"[A-Za-z?\x7f-\x{10ffff}]+"
-# Signs outside ASCII that belong to clean text.
-SIGNS = "«»“”„‘’–—…№°±−×·€§©®™"
-#: A clean word: letters of one script with usual letter case, and clean signs. Latin words keep some ASCII letters.
-NATURAL = rf"^[{SIGNS}\p{{So}}?]*(?:(?:[\p{{IsCyrillic}}&&\p{{Ll}}]+|[\p{{IsCyrillic}}&&\p{{Lu}}][\p{{IsCyrillic}}&&\p{{Ll}}]*|[\p{{IsCyrillic}}&&\p{{Lu}}]+)(?:[{SIGNS}]+|$))*$|^[{SIGNS}]*(?:(?:[\p{{IsLatin}}&&\p{{Ll}}]+|[\p{{IsLatin}}&&\p{{Lu}}][\p{{IsLatin}}&&\p{{Ll}}]*|[\p{{IsLatin}}&&\p{{Lu}}]+)(?:[{SIGNS}?]+|$))*$"
+# Signs outside ASCII that stand before letters of clean text, and those that stand after letters.
+BEFORE = "«»“”„‘’–—…№°±−×§"
+AFTER = "«»“”„‘’–—…"
+
+
+def _runs(script: str) -> str:
+    """Letters of one script with usual case: small, large, or one large and then small ones; signs between and around them."""
+    small, large = rf"[\p{{Is{script}}}&&\p{{Ll}}]", rf"[\p{{Is{script}}}&&\p{{Lu}}]"
+    return rf"^[{BEFORE}\p{{So}}]*(?:(?:{large}?{small}+|{large}+)(?:[{AFTER}]+|$))*$"
+
+
+#: A clean word: letters of one script with usual letter case, and clean signs.
+NATURAL = rf"{_runs('Cyrillic')}|{_runs('Latin')}"
 
 
 @lru_cache
@@ -114,8 +123,8 @@ def known_forms(tokens: DataFrame) -> DataFrame:
     vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n")).withColumn("natural", _natural(F.col("word")))
     forms = vocabulary.where("natural").select("word", "n").mapInArrow(_generate, "form string, origin string, chain string, n_origin bigint")
     met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("n").alias("n_form"), "natural"), "form")
-    plain_letter = F.col("form").rlike(r"^\p{L}?$")
-    met = met.where(~plain_letter & (~F.col("natural") | (F.col("n_origin") > F.col("n_form"))))
+    # One character says nothing: every byte of a one-byte encoding is some letter or sign.
+    met = met.where((F.char_length("form") > 1) & (~F.col("natural") | (F.col("n_origin") > F.col("n_form"))))
     by = F.struct("n_origin", "origin", "chain")
     best = met.groupBy("form").agg(F.max(by).alias("b"), (~F.first("natural")).alias("strong"))
     return best.select("form", F.col("b.origin").alias("origin"), F.col("b.chain").alias("chain"), "strong")
@@ -155,7 +164,7 @@ def _undo(word: str, chain: str) -> str:
 
 
 _CUT = regex.compile(r"[A-Za-z?\x7f-\U0010ffff]+")
-_CLEAN = regex.compile(rf"^[{SIGNS}]*(?:(?:[\p{{Cyrillic}}]+|[\p{{Latin}}]+)[{SIGNS}]*)*$")
+_CLEAN = regex.compile(rf"^[{BEFORE}]*(?:(?:[\p{{Cyrillic}}]+|[\p{{Latin}}]+)[{BEFORE}]*)*$")
 _ODD = regex.compile(r"[\x7f-\U0010ffff]")
 
 

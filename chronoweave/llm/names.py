@@ -157,8 +157,12 @@ def _segments(name: F.Column) -> F.Column:
     return F.array(*out)
 
 
-def _probes(name: F.Column) -> F.Column:
-    """All substrings of a name that can equal a segment of a name at most EDITS letters longer or shorter, moved by at most EDITS."""
+def _probes(name: F.Column, longer: bool) -> F.Column:
+    """All substrings of a name that can equal a segment of a name at most EDITS letters shorter (or longer, if asked).
+
+    A segment's place can be moved by no more than the segments left of it, and, counted from the end, by no more than
+    those right of it: else another segment would have stayed whole, too.
+    """
     size = F.length(name)
     parts = EDITS + 1
 
@@ -171,13 +175,13 @@ def _probes(name: F.Column) -> F.Column:
         for k in range(parts):
             start = F.floor(other * k / parts).cast("int")
             stop = F.floor(other * (k + 1) / parts).cast("int")
-            # The segment begins at most this far from its own place: the name's ends pull it by the difference in length.
-            shifts = F.sequence(F.greatest(F.lit(0), start - EDITS), F.least(size - (stop - start), start + EDITS))
-            shifts = F.when(F.greatest(F.lit(0), start - EDITS) <= F.least(size - (stop - start), start + EDITS), shifts).otherwise(F.array().cast("array<int>"))
+            low = F.greatest(F.lit(0), start - k, start - d - (EDITS - k))
+            high = F.least(size - (stop - start), start + k, start - d + (EDITS - k))
+            shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
             segments.append(F.transform(shifts, taken(k, stop - start, other)))
         return F.flatten(F.array(*segments))
 
-    lengths = F.filter(F.sequence(F.lit(-EDITS), F.lit(EDITS)), lambda d: size + d >= 1)
+    lengths = F.filter(F.sequence(F.lit(-EDITS), F.lit(EDITS if longer else 0)), lambda d: size + d >= 1)
     return F.array_distinct(F.flatten(F.transform(lengths, of)))
 
 
@@ -186,10 +190,11 @@ def near_names(asked: DataFrame, held: DataFrame, block: list[str]) -> DataFrame
 
     Pigeonhole: of EDITS + 1 segments of a name, at least one stays whole after EDITS edits. Segments of ``held`` are an
     inverted index; the shifted substrings of ``asked`` are looked up in it, and candidates are verified by a banded edit
-    distance. Both have the columns ``node``, ``surname`` and those of the block.
+    distance. Both have the columns ``node``, ``surname`` and those of the block. Of a table with itself only names not longer
+    than the asked one are looked up, so that every pair comes up once at least, and in one direction unless equally long.
     """
     index = held.select(*block, F.col("node").alias("other"), F.col("surname").alias("other_surname"), F.explode(_segments(F.col("surname"))).alias("s")).select("*", "s.*").drop("s")
-    probe = asked.select(*block, "node", "surname", F.explode(_probes(F.col("surname"))).alias("s")).select("*", "s.*").drop("s")
+    probe = asked.select(*block, "node", "surname", F.explode(_probes(F.col("surname"), asked is not held)).alias("s")).select("*", "s.*").drop("s")
     candidates = probe.join(index, [*block, "k", "size", "text"]).where("node <> other").select("node", "surname", "other", "other_surname").distinct()
     distance = F.levenshtein("surname", "other_surname", EDITS)
     return candidates.withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") <= _allowed(F.col("surname"), F.col("other_surname")))).select("node", "other", "distance")

@@ -9,6 +9,7 @@ from chronoweave.llm.bpe import token_counts, token_ids
 from chronoweave.llm.duplicates import copies, distinct_records
 from chronoweave.llm.lookalikes import canonical_values, odd_rows
 from chronoweave.llm.mixing import mix
+from chronoweave.llm.mojibake import garbled, restored
 from chronoweave.llm.names import people
 from chronoweave.sources.tables import table
 
@@ -73,7 +74,17 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mixed(spark, directory)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents whose text was read in a wrong encoding, wholly or in part."""
+    return garbled(table(spark, directory, "documents"), "doc_id", "text")[0].select(F.col("doc").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """The garbled documents with their text brought back as far as it can be."""
+    return restored(table(spark, directory, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)}
 
 
 def _bare_sql(c: str) -> str:
