@@ -164,31 +164,36 @@ def _undo(word: str, chain: str) -> str:
 
 
 _CUT = regex.compile(r"[A-Za-z?\x7f-\U0010ffff]+")
-_CLEAN = regex.compile(rf"^[{BEFORE}]*(?:(?:[\p{{Cyrillic}}]+|[\p{{Latin}}]+)[{BEFORE}]*)*$")
+_CLEAN = regex.compile("(?V1)" + NATURAL.replace(r"\p{Is", r"\p{"))
 _ODD = regex.compile(r"[\x7f-\U0010ffff]")
 
 
+def restore(text: str, known: dict[str, str], chain: str) -> str:
+    """The text with known garbled words replaced. Another word is taken back through the chain if it can't be clean and the
+    outcome can, or if it follows a garbled word, is in capitals, and becomes small letters (Cyrillic read as Cyrillic); a
+    single letter, if garbled words stand on both sides."""
+    found = list(_CUT.finditer(text))
+    garbled_ = [m.group() in known or m.group().strip("?") in known or not _CLEAN.match(m.group()) for m in found]
+    out, at, after = [], 0, False
+    for k, m in enumerate(found):
+        word, bare = m.group(), m.group().strip("?")
+        new = known.get(word)
+        if new is None and bare in known:
+            new = word.replace(bare, known[bare], 1)
+        if new is None and _ODD.search(word):
+            plain = _undo(word, chain)
+            inside = after and (word.isupper() or len(word) == 1) and plain.islower() and (len(word) > 1 or (k + 1 < len(found) and garbled_[k + 1]))
+            if plain != word and _CLEAN.match(plain) and (inside or not _CLEAN.match(word)):
+                new = plain
+        out += [text[at : m.start()], word if new is None else new]
+        at, after = m.end(), new is not None
+    return "".join([*out, text[at:]])
+
+
 @F.pandas_udf(T.StringType())
 def _restored(texts: pd.Series, forms: pd.Series, origins: pd.Series, chains: pd.Series) -> pd.Series:
-    out = []
-    for text, form, origin, chain in zip(texts, forms, origins, chains, strict=True):
-        known = dict(zip(form, origin, strict=True))
-
-        def back(m: regex.Match, known: dict[str, str] = known, chain: str = chain) -> str:
-            word = m.group()
-            if word in known:
-                return known[word]
-            bare = word.strip("?")
-            if bare in known:
-                return word.replace(bare, known[bare])
-            if _ODD.search(word):
-                plain = _undo(word, chain)
-                if plain != word and _CLEAN.match(plain):
-                    return plain
-            return word
-
-        out.append(_CUT.sub(back, text))
-    return pd.Series(out)
+    rows = zip(texts, forms, origins, chains, strict=True)
+    return pd.Series([restore(text, dict(zip(form, origin, strict=True)), chain) for text, form, origin, chain in rows])
 
 
 def restored(df: DataFrame, doc_id: str, text: str) -> DataFrame:
