@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,23 +24,23 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
     """
     shared_folder(edges.sparkSession)
     links = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-    links = links.distinct().checkpoint()
-    mark = _mark(links)
-    for _ in range(rounds):
+    links, mark = _kept(links.distinct())
+    for _ in range(rounds if mark[0] else 0):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = small.where("a <> b").distinct().checkpoint()
-        last, mark = mark, _mark(links)
+        last = mark
+        links, mark = _kept(small.where("a <> b").distinct())
         if mark == last:
             break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _mark(links: DataFrame) -> tuple[int, int]:
-    """What tells two sets of links apart: their number and the sum of their hashes."""
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The links with their lineage cut, and what tells them from other links, observed on the way: number and sum of hashes."""
+    seen = Observation()
+    kept = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).checkpoint()
+    return kept, (seen.get["n"], seen.get["h"])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import problems
+from chronoweave.plans import problems, timetable
 
-_PARTS = (problems,)
+_PARTS = (problems, timetable)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
