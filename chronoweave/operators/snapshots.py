@@ -33,7 +33,7 @@ def deliveries(df: DataFrame, snapshot: str) -> DataFrame:
     head = [r[0] for r in distinct.limit(DELIVERIES_SENT + 1).collect()]
     if len(head) <= DELIVERIES_SENT:
         head.sort()
-        rows = list(zip(head, [None, *head[:-1]], [*head[1:], None], strict=True))
+        rows = list(zip(head, [None, *head][: len(head)], [*head[1:], None][: len(head)], strict=True))
         schema = T.StructType([T.StructField(c, T.LongType()) for c in ("__snap", "__prev", "__next")])
         return F.broadcast(spark.createDataFrame(rows, schema))
     order = Window.orderBy("__snap")
@@ -49,7 +49,8 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[s
     Columns out: ``snapshot`` (of the later delivery), ``key``, ``change_kind`` (added, removed, changed).
     Numbers left out in the deliveries are no deliveries. The first delivery has no cases. Repeated rows of a key in a
     snapshot count once, whenever they arrived; if their contents differ, the smallest and the largest content hash stand
-    for them all. Rows with a null key or a null snapshot are no records and are left out. An empty table gives no rows.
+    for them all. Rows with a null key are no records, though their snapshot counts as delivered; rows with a null snapshot
+    are left out. An empty table gives no rows.
     """
     kind = df.schema[snapshot].dataType
     rows = (

@@ -50,17 +50,19 @@ def payload_events(payloads: DataFrame) -> DataFrame:
     groups, stream = group_list(listed), stream_code(F.col("e.stream"))
     groups = F.when(F.size(groups) > 0, groups).when(F.upper(F.trim(listed)) == "ALL", F.array(F.lit("ALL"))).when(stream.isNotNull(), F.array(F.lit("ALL"))).otherwise(groups)
     subject = clean_subject(F.coalesce("e.subject", "e.discipline", "e.name"))
-    rows = course.select(F.coalesce("e.program", "specialty").alias("program_code"), "course", "e", day.alias("event_date"), times.alias("t"), groups.alias("g"), stream.alias("stream_code"), subject.alias("subject"))
+    whole = F.coalesce(F.col("e.mergedConsecutive"), F.lit(False)) | F.coalesce(F.col("e.orgMerged"), F.lit(False))
+    rows = course.select(
+        F.col("e.id").alias("raw_id"), F.coalesce("e.program", "specialty").alias("program_code"), "course", day.alias("event_date"), times.alias("t"), groups.alias("g"), stream.alias("stream_code"),
+        subject.alias("subject"), clean_location(F.col("e.location")).alias("location_text"), clean_teacher(F.col("e.teacher")).alias("teacher"), lesson_kind(F.col("e.type"), subject).alias("lesson_type"),
+        half_code(F.col("e.half")).alias("half"), F.col("e.sourceUrl").alias("source_url"), whole.alias("whole"),
+    )
     rows = rows.where("course IS NOT NULL AND event_date IS NOT NULL AND t IS NOT NULL AND subject <> ''").withColumn("group_code", F.explode("g"))
     minutes = lambda c: F.substring(c, 1, 2).cast("int") * 60 + F.substring(c, 4, 2).cast("int")
-    whole = F.coalesce(F.col("e.mergedConsecutive"), F.lit(False)) | F.coalesce(F.col("e.orgMerged"), F.lit(False))
-    rows = rows.withColumn("p", F.explode(lesson_parts(minutes(F.col("t.start_time")), minutes(F.col("t.end_time")), whole)))
-    start, end = render_minutes(F.col("p.start")), render_minutes(F.col("p.end"))
-    event_id = F.coalesce(F.concat_ws("-", "e.id", F.col("event_date").cast("string"), "group_code", F.coalesce(F.col("p.part"), F.lit(0)).cast("string")), short_id(F.col("subject")))
+    rows = rows.withColumn("p", F.explode(lesson_parts(minutes(F.col("t.start_time")), minutes(F.col("t.end_time")), F.col("whole"))))
+    event_id = F.concat_ws("-", F.coalesce("raw_id", short_id(F.col("subject"), F.col("t.start_time"))), F.col("event_date").cast("string"), "group_code", F.coalesce(F.col("p.part"), F.lit(0)).cast("string"))
     return rows.select(
-        event_id.alias("event_id"), "program_code", "course", "group_code", "stream_code", "event_date", start.alias("start_time"), end.alias("end_time"), "subject",
-        clean_location(F.col("e.location")).alias("location_text"), clean_teacher(F.col("e.teacher")).alias("teacher"), lesson_kind(F.col("e.type"), F.col("subject")).alias("lesson_type"),
-        half_code(F.col("e.half")).alias("half"), F.col("p.part").alias("double_part"), F.col("e.sourceUrl").alias("source_url"),
+        event_id.alias("event_id"), "program_code", "course", "group_code", "stream_code", "event_date", render_minutes(F.col("p.start")).alias("start_time"), render_minutes(F.col("p.end")).alias("end_time"),
+        "subject", "location_text", "teacher", "lesson_type", "half", F.col("p.part").alias("double_part"), "source_url",
     )
 
 
