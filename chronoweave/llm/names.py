@@ -237,7 +237,7 @@ def people(df: DataFrame, row_id: str, owner: str, name: str) -> DataFrame:
     known = full
     person = _group(full, ["owner", "given", "patronymic"]).checkpoint()
     for some, block in ((half, ["owner", "given"]), (bare, ["owner"])):
-        placed = _best(near_names(some, known, block).unionByName(_equal(some, known, block)), person)
+        placed = _best(near_names(some, known, block).unionByName(_equal(some, known, block)).checkpoint(), person).checkpoint()
         rest = some.join(placed, "node", "left_anti")
         person = person.unionByName(placed).unionByName(_group(rest, block)).checkpoint()
         known = known.unionByName(some)
