@@ -64,7 +64,9 @@ def canonical_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     boxes = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
     values = df.select(boxes.alias("b")).select("b.field", "b.value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
-    pieces = values.select("field", "value", "n", F.posexplode(F.regexp_extract_all("value", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
+    # Pieces carry a digest of their value, not the value, which may be very long.
+    values = values.withColumn("of", F.md5("value"))
+    pieces = values.select("field", "of", "n", F.posexplode(F.regexp_extract_all("value", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
 
     members = pieces.groupBy("field", "piece").agg(F.sum("n").alias("n")).withColumn("skeleton", skeleton(F.col("piece")))
     # Spark compares collated texts by their collation: the window's partitions are the classes.
@@ -89,11 +91,11 @@ def canonical_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     canon = canon.where(~F.col("piece").rlike(PLAIN) | (F.col("piece") != F.col("good")))  # the rest stays as it is
 
     fixed = pieces.join(canon, ["field", "piece"], "left")
-    whole = fixed.groupBy("field", "value").agg(
+    whole = fixed.groupBy("field", "of").agg(
         F.max(F.col("good").isNotNull()).alias("odd"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("good", "piece").alias("text")))), lambda x: x["text"]), "").alias("canonical"),
     )
-    return whole.where("odd").select("field", "value", "canonical")
+    return whole.where("odd").join(values, ["field", "of"]).select("field", "value", "canonical")
 
 
 def odd_rows(df: DataFrame, row_id: str, fields: Sequence[str]) -> DataFrame:

@@ -75,12 +75,12 @@ def mix(records: DataFrame, row_id: str, source: str, size: str, targets: DataFr
     # A row per source or per task: sent to every task after it was counted, joined by shuffle if there are very many.
     send = F.broadcast if plan.count() + placed.rdd.getNumPartitions() <= MOST_SENT else (lambda df: df)
     whole = running.join(send(offsets), ["source", "part"]).join(send(plan), "source")
-    epochs = F.floor(F.col("budget") / F.col("available"))
+    epochs = F.floor(F.try_divide("budget", "available"))
     upto = F.col("upto") + F.col("offset")
     rest = F.col("budget") - epochs * F.col("available")
     again = (upto - F.floor(F.col("size") / 2) <= rest) & (rest > 0) & (epochs < F.col("max_repeats"))
     chosen = whole.withColumn("repeats", (epochs + again.cast("int")).cast("int")).where("repeats > 0").select(F.col("id").alias(row_id), "source", "size", "repeats")
     used = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("reached"))
     all_ = F.sum("reached").over(Window.partitionBy())
-    shares = plan.join(used, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0).cast("long"))).withColumn("share", F.col("reached") / all_)
+    shares = plan.join(used, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0).cast("long"))).withColumn("share", F.coalesce(F.try_divide("reached", all_), F.lit(0.0)))
     return chosen, shares.withColumn("met", F.abs(F.col("share") - F.col("target_share")) <= 0.01)
