@@ -283,3 +283,33 @@ def test_geometry(spark):
     cells = spark.createDataFrame([("d", 1, 0.0, 25.0), ("d", 2, 10.0, 10.5)], "doc string, cell int, x0 double, x1 double")
     bands = spark.createDataFrame([("d", 1, 0.0, 10.0), ("d", 2, 10.0, 20.0), ("d", 3, 24.5, 40.0)], "doc string, week_number int, a double, b double")
     assert {(r.cell, r.week_number) for r in geometry.weeks_of_cells(cells, bands).collect()} == {(1, 1), (1, 2)}
+
+
+def test_documents(spark):
+    from chronoweave.operators import documents as docs
+
+    page = "<h2>Лечебное дело</h2><a href='/files/4k_ld_b.pdf#x'>Расписание занятий семинарского типа, поток А</a><a href='/files/4k_ld_b.pdf'>again</a><h3>Прочее</h3><a href='kug.pdf'>КУГ педиатрия</a><a>none</a>"
+    found = docs.links(spark.createDataFrame([("https://h/p/", page), ("https://h/q/", None)], "page string, html string"), "page", "html")
+    assert {(r.url, r.heading) for r in found.collect()} == {("https://h/files/4k_ld_b.pdf", "Лечебное дело"), ("https://h/p/kug.pdf", "Прочее")}
+    (row,) = docs.timetable_links(found).collect()
+    assert (row.program, row.course_number, row.stream, row.kind, row.mismatch) == ("31.05.01", 4, "A", "practice", True)  # the heading goes first
+    fallback = spark.createDataFrame([("p", 1, "f1"), ("p", 2, "f2")], "program string, course int, url string")
+    candidates = spark.createDataFrame([("p", 1, "old", -1), ("p", 1, "new", 1), ("p", 2, "old", -1)], "program string, course int, url string, points int")
+    best = docs.best_or_fallback(candidates, fallback, ["program", "course"], F.col("points"), ["url"])
+    assert {(r.course, r.url, r.origin) for r in best.collect()} == {(1, "new", "found"), (2, "f2", "fallback")}
+    attempts = spark.createDataFrame([("a", 1, "pdf", 0, 0), ("a", 2, "xlsx", 2, 3), ("a", 3, "html", 2, 3)], "doc string, attempt_no int, parser string, events int, warnings int")
+    assert docs.best_attempt(attempts, ["doc"]).first().parser == "xlsx"
+
+
+def test_listed_lessons(spark):
+    from chronoweave.operators import documents as docs
+
+    rows = spark.createDataFrame([("d", k, t) for k, t in enumerate(["Поток А", "Понедельник", "9:00 – 10:35 Биология", "КПК, ауд. 101", "10:50-12:25", "Химия", "Вт", "9:00-10:35 Физика"])], "doc string, line int, text string")
+    got = [(r.weekday, r.clock, r.text) for r in docs.listed_lessons(rows).orderBy("line").collect()]
+    assert got == [(0, "9:00 – 10:35", "Биология КПК, ауд. 101"), (0, "10:50-12:25", "Химия"), (1, "9:00-10:35", "Физика")]
+    assert docs.preview(rows, 2).first().text == "Поток А\nПонедельник"
+    clocks = spark.createDataFrame([("9:00-10:35 9:20-10:55", "Солнечное"), ("9:00-10:35 9:20-10:55", "КПК"), ("9:00-10:35", "КПК"), ("", "КПК")], "t string, p string")
+    assert [r[0] for r in clocks.select(docs.clock_for_place(F.col("t"), F.col("p"))).collect()] == ["9:00-10:35", "9:20-10:55", "9:00-10:35", None]
+    parts = spark.createDataFrame([("ЛРК, ауд. 5.20 Общая хирургия",), (None,), ("Химия",)], "t string").select(docs.split_leading_place("t").alias("s")).collect()
+    assert [tuple(r.s) for r in parts] == [("ЛРК, ауд. 5.20", "Общая хирургия"), (None, None), ("", "Химия")]
+    assert spark.range(1).select(docs.repaired(F.lit("Эндокрино логия"), {"эндокрино логия": "Эндокринология"})).first()[0] == "Эндокринология"
