@@ -23,11 +23,14 @@ def occurrence_days(first: Column, frequency: Column, interval: Column, weekdays
     last = F.coalesce(until, F.date_add(first, HORIZON))
     step = F.greatest(F.coalesce(interval, F.lit(1)), F.lit(1))
     span = F.greatest(F.datediff(last, first), F.lit(-1))
-    every = F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0))), lambda k: k <= span)
-    wanted = F.when(F.size(F.coalesce(weekdays, F.array().cast("array<int>"))) > 0, weekdays).otherwise(F.array((F.dayofweek(first) - 1).cast("int")))
     add = lambda k: F.date_add(first, k)
-    daily = F.transform(F.filter(every, lambda k: k % step == 0), add)
-    weekly = F.transform(F.filter(every, lambda k: (F.floor(k / 7) % step == 0) & F.array_contains(wanted, (F.dayofweek(add(k)) - 1).cast("int"))), add)
+    daily = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(span, F.lit(0)), step), lambda k: k <= span), add)
+    # A week of the series begins on the first day's weekday: weekdays are offsets from it.
+    begins = F.dayofweek(first) - 1
+    wanted = F.when(F.size(F.coalesce(weekdays, F.array().cast("array<int>"))) > 0, weekdays).otherwise(F.array(begins.cast("int")))
+    offsets = F.array_sort(F.array_distinct(F.transform(F.filter(wanted, lambda w: w.between(0, 6)), lambda w: F.pmod(w - begins, F.lit(7)))))
+    weeks = F.sequence(F.lit(0), F.greatest(F.floor(span / 7), F.lit(0)).cast("int"), step)
+    weekly = F.transform(F.filter(F.flatten(F.transform(weeks, lambda w: F.transform(offsets, lambda o: (w * 7 + o).cast("int")))), lambda k: k <= span), add)
 
     def by_months(size: int) -> Column:
         counts = F.sequence(F.lit(0), F.greatest(F.floor(F.months_between(last, first) / size), F.lit(0)).cast("int"))
