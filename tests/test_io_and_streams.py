@@ -112,3 +112,21 @@ def test_streams(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "hits"))
     assert sum(r.n for r in state.tumbling(batch, "t", ["k"], "1 minute").collect()) == 6
     assert {(r.k, r.n) for r in state.sessions(batch, "t", ["k"], "25 seconds").collect()} == {("u", 2), ("u", 3), ("v", 1)}
+
+
+def test_versions(spark, tmp_path):
+    from chronoweave.streaming.batches import keep_versions, newest_version
+
+    source, out, marks = (str(tmp_path / n) for n in ("source", "out", "marks"))
+    assert newest_version(out, spark) is None
+
+    def deliver(*values):
+        spark.createDataFrame([(v,) for v in values], "v int").coalesce(1).write.mode("append").parquet(source)
+        keep_versions(spark.readStream.schema("v int").parquet(source), out, marks, lambda df: df.where("v > 0")).awaitTermination()
+
+    deliver(1, 2)
+    assert sorted(r.v for r in newest_version(out, spark).collect()) == [1, 2]
+    deliver(3)
+    assert [r.v for r in newest_version(out, spark, ["v"]).collect()] == [3]
+    deliver(-1)  # nothing good came: the last good version stays
+    assert [r.v for r in newest_version(out, spark).collect()] == [3]
