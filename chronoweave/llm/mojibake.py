@@ -108,8 +108,9 @@ def _natural(word: Column) -> Column:
 
 def words(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The distinct words outside ASCII of each document, as they stand and without question marks around them: ``doc``, ``word``."""
-    found = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), lambda w: w.rlike(r"[^\x00-\x7e]"))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, r"^\?+|\?+$", ""))
+    every = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+    found = F.filter(every, lambda w: F.octet_length(w) > F.char_length(w))
+    bare = F.transform(F.filter(found, lambda w: w.contains("?")), lambda w: F.regexp_replace(w, r"^\?+|\?+$", ""))
     return df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.explode(F.array_union(found, bare)).alias("word"))
 
 
@@ -120,7 +121,7 @@ def known_forms(tokens: DataFrame) -> DataFrame:
     corpus. Of two words that are each other's garbled form the one in more documents is the original. A form that can't be
     a clean word itself is strong; one that can (a Cyrillic word read as another Cyrillic word) is weak.
     """
-    vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n")).withColumn("natural", _natural(F.col("word")))
+    vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n")).withColumn("natural", _natural(F.col("word"))).checkpoint()
     forms = vocabulary.where("natural").select("word", "n").mapInArrow(_generate, "form string, origin string, chain string, n_origin bigint")
     met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("n").alias("n_form"), "natural"), "form")
     # One character says nothing: every byte of a one-byte encoding is some letter or sign.
