@@ -54,8 +54,9 @@ def expand(series: DataFrame) -> DataFrame:
     first = local.cast("date")
     seconds = F.unix_micros(F.col("end_at")) - F.unix_micros(F.col("start_at"))
     clock = F.unix_micros(local) - F.unix_micros(F.date_trunc("day", local))
-    days = occurrence_days(first, F.col("frequency"), F.col("repeat_interval"), F.col("weekdays"), F.col("until_date"))
-    rows = series.select("*", clock.alias("__clock"), seconds.alias("__long"), F.posexplode(days).alias("occurrence_index", "__day"))
+    days = occurrence_days(F.col("__first"), F.col("frequency"), F.col("repeat_interval"), F.col("weekdays"), F.col("until_date"))
+    placed = series.select("*", first.alias("__first"), clock.alias("__clock"), seconds.alias("__long"))
+    rows = placed.select("*", F.posexplode(days).alias("occurrence_index", "__day"))
     wall = F.timestamp_micros(F.unix_micros(F.col("__day").cast("timestamp")) + F.col("__clock"))
     start = local_to_instant(wall, F.col("time_zone"))
     rows = rows.withColumn("__start", start)
