@@ -118,16 +118,21 @@ def known_forms(tokens: DataFrame) -> DataFrame:
     """The corpus's words that are garbled forms of its clean words: ``form``, ``origin``, ``chain``, ``strong``.
 
     Every distinct clean word is garbled under all encoding chains; the forms are hash-joined with the distinct words of the
-    corpus. Of two words that are each other's garbled form the one in more documents is the original. A form that can't be
-    a clean word itself is strong; one that can (a Cyrillic word read as another Cyrillic word) is weak.
+    corpus. A form with characters that clean words don't have is strong. Any other form (letters of one or two scripts, such
+    as caps lock and a wrong keyboard layout make, too) counts only if its original is in more documents: of two words that are
+    each other's garbled form the more frequent one is clean. It is weak, or strong if its original is in ten times as many
+    documents and it can't be a clean word or is too long to be another word's form by chance.
     """
     vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n")).withColumn("natural", _natural(F.col("word"))).checkpoint()
     forms = vocabulary.where("natural").select("word", "n").mapInArrow(_generate, "form string, origin string, chain string, n_origin bigint")
     met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("n").alias("n_form"), "natural"), "form")
     # One character says nothing: every byte of a one-byte encoding is some letter or sign.
-    met = met.where((F.char_length("form") > 1) & (~F.col("natural") | (F.col("n_origin") > F.col("n_form"))))
+    form = F.col("form")
+    sure = form.rlike(rf"[^\p{{L}}\p{{M}}?{BEFORE}\x{{1F000}}-\x{{1FFFF}}]") | form.rlike(r"\p{L}[°±×§]") | form.rlike(r"^[\p{IsLatin}&&[^A-Za-z]]{4,}$")
+    met = met.withColumn("sure", sure & ~F.col("natural")).where((F.char_length("form") > 1) & (F.col("sure") | (F.col("n_origin") > F.col("n_form"))))
+    strong = F.col("sure") | ((~F.col("natural") | (F.char_length("form") >= 5)) & (F.col("n_origin") >= 10 * F.col("n_form")))
     by = F.struct("n_origin", "origin", "chain")
-    best = met.groupBy("form").agg(F.max(by).alias("b"), (~F.first("natural")).alias("strong"))
+    best = met.groupBy("form").agg(F.max(by).alias("b"), F.max(strong).alias("strong"))
     return best.select("form", F.col("b.origin").alias("origin"), F.col("b.chain").alias("chain"), "strong")
 
 

@@ -49,6 +49,14 @@ def test_restored(docs):
     assert {n: got[first + names.index(n)] for n in whole} == whole
 
 
+def test_caps_and_layout_are_no_cases(spark):
+    # A garbled text in capitals looks like small letters, whose garbled form is the caps lock text of others.
+    caps = ["пРЕПОДАВАТЕЛЬ сТАРШАЯ", "пРЕПОДАВАТЕЛЬ ytltkю сТАРШАЯ", "ytltkю"]
+    twins = [spoil("пРЕПОДАВАТЕЛЬ", "cp1251", "koi8-r"), spoil("сТАРШАЯ", "cp1251", "koi8-r"), "ytltkþ"]
+    frame = spark.createDataFrame(list(enumerate(caps + twins)), "doc_id long, text string")
+    assert not {0, 1, 2} & {r.doc for r in garbled(frame, "doc_id", "text")[0].collect()}
+
+
 def test_forms():
     forms = dict(garbled_forms("тема"))
     assert forms["ÔÅÍÁ"] == "koi8-r>cp1252"
