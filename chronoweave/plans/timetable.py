@@ -452,11 +452,28 @@ WITH n AS (SELECT max(snapshot_no) AS z, max(snapshot_no) FILTER (snapshot_no <
 b AS (SELECT {", ".join(_ROW)} FROM event_snapshot WHERE snapshot_no = (SELECT a FROM n)), c AS (SELECT {", ".join(_ROW)} FROM event_snapshot WHERE snapshot_no = (SELECT z FROM n))
 SELECT *, 'removed' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM b)""")
 def delivery_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that only one of the last two deliveries has, the time of arrival ignored."""
+    """Rows that only one of the last two deliveries has, by the columns of ``_ROW``: streams and kinds of lessons aren't compared (``delivery_diff_whole`` does)."""
+    before, after = _last_deliveries(spark, d)
+    return sinks.table_diff(before.select(*_ROW), after.select(*_ROW))
+
+
+_ARRIVAL = ("snapshot_no", "received_at")
+
+
+@query(f"""
+WITH n AS (SELECT max(snapshot_no) AS z, max(snapshot_no) FILTER (snapshot_no < (SELECT max(snapshot_no) FROM event_snapshot)) AS a FROM event_snapshot),
+b AS (SELECT * EXCLUDE ({", ".join(_ARRIVAL)}) FROM event_snapshot WHERE snapshot_no = (SELECT a FROM n)), c AS (SELECT * EXCLUDE ({", ".join(_ARRIVAL)}) FROM event_snapshot WHERE snapshot_no = (SELECT z FROM n))
+SELECT *, 'removed' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM b)""")
+def delivery_diff_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that only one of the last two deliveries has, by every column but number and time of arrival."""
+    return sinks.table_diff(*_last_deliveries(spark, d), ignore=_ARRIVAL)
+
+
+def _last_deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, d, "event_snapshot")
     last = s.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).agg(F.max("snapshot_no").alias("z"), F.min("snapshot_no").alias("a"))
-    of = lambda c: s.join(last, F.col("snapshot_no") == F.col(c), "left_semi").select(*_ROW)
-    return sinks.table_diff(of("a"), of("z"))
+    of = lambda c: s.join(last, F.col("snapshot_no") == F.col(c), "left_semi")
+    return of("a"), of("z")
 
 
 @query("""
