@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import temporal, text
@@ -481,10 +482,44 @@ WITH h AS (SELECT sha256(concat_ws(chr(1), COALESCE('=' || CAST(roster_id AS VAR
 s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(x, 1, 8) AS BIGINT)) AS a, sum(CAST('0x' || substr(x, 9, 8) AS BIGINT)) AS b FROM h)
 SELECT n AS total_rows, substr(sha256(n || '|' || a || '|' || b), 1, 16) AS fingerprint FROM s""")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A fingerprint of a table's content (K7)."""
+    """A fingerprint of who is listed: three columns of the roster (``table_fingerprints`` has whole tables)."""
     return sinks.fingerprint(table(spark, d, "roster"), ["roster_id", "group_code", "source_url"])
 
 
+# The columns are for SQL only: the query takes those that a table has.
+_TABLES = {
+    "academic_week": "calendar_code academic_year week_number from_date to_date",
+    "documents": "doc_id text lang source n_chars source_url program_code course published_on",
+    "event_snapshot": "snapshot_no received_at event_id program_code course group_code stream_code event_date start_time end_time subject location_text teacher lesson_type",
+    "events": "event_id ts user_id event_type value props",
+    "group_ref": "program_code course group_code stream_code opened_on closed_on",
+    "manual_rule": "rule_id chair_code program_code course weeks_spec weekday start_time end_time subject location_text teacher groups_list audience",
+    "mix_target": "source target_share max_repeats",
+    "raw_event": "raw_id program_code course group_code stream_code week_number weekday start_time end_time subject location_text teacher lesson_type half parser_name source_url captured_at",
+    "roster": "roster_id program_code course stream_code group_code listed_on source_url",
+    "schedule_event": "event_id program_code course group_code stream_code event_date start_time end_time subject location_text teacher lesson_type half is_double duration_minutes weeks_spec source_url source_kind confidence ingested_on",
+    "source_provenance": "url sha256 content_bytes checked_at academic_year_in_document date_label_count first_seen_on withdrawn_on",
+    "study_period": "period_id plan_code program_code course academic_year from_date to_date period_label period_kind source_url",
+}
+
+
+def _hashes_sql(name: str) -> str:
+    as_text = lambda c: f"CAST(to_json({c}) AS VARCHAR)" if c == "groups_list" else f"CAST({c} AS VARCHAR)"
+    values = ", ".join(f"COALESCE('=' || {as_text(c)}, '0')" for c in _TABLES[name].split())
+    return f"SELECT count(*) AS n, sum(CAST('0x' || substr(x, 1, 8) AS BIGINT)) AS a, sum(CAST('0x' || substr(x, 9, 8) AS BIGINT)) AS b, '{name}' AS table_name FROM (SELECT sha256(concat_ws(chr(1), {values})) AS x FROM {name})"
+
+
+@query(f"""
+WITH f AS (SELECT table_name, n AS total_rows, substr(sha256(concat_ws('|', n, a, b)), 1, 16) AS fingerprint FROM ({" UNION ALL ".join(map(_hashes_sql, _TABLES))}))
+SELECT *, substr(sha256(string_agg(table_name || '=' || fingerprint, '|' ORDER BY table_name) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 16) AS all_tables FROM f""")
+def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """A fingerprint of every table by all its columns, and one of all tables together, in order of their names (K7)."""
+    tables = [(name, table(spark, d, name)) for name in _TABLES]
+    marks = reduce(DataFrame.unionByName, [sinks.fingerprint(df, df.columns).select(F.lit(name).alias("table_name"), "total_rows", "fingerprint") for name, df in tables])
+    each = F.array_sort(F.collect_list(F.concat_ws("=", "table_name", "fingerprint")).over(Window.partitionBy()))  # one row per table
+    return marks.withColumn("all_tables", F.substring(F.sha2(F.array_join(each, "|"), 256), 1, 16))
+
+
 @query("SELECT event_date, list_transform(list_sort(list(DISTINCT {'s': start_time, 'e': event_id})), lambda x: x.e) AS event_ids FROM schedule_event WHERE event_date IS NOT NULL GROUP BY event_date")
 def by_day(spark: SparkSession, d: str) -> DataFrame:
     """The events of each day in order."""

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from chronoweave.functions.text import ics_text
 
@@ -42,9 +43,12 @@ def publish_parts(df: DataFrame, path: str, by: list[str], expected: DataFrame |
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the number of rows and a fingerprint of their content in any order (``total_rows``, ``fingerprint``, 16 digits).
 
-    Row hashes are summed in halves, so that equal tables have equal fingerprints without sorting or gathering rows.
+    Row hashes are summed in halves, so that equal tables have equal fingerprints without sorting or gathering rows. Lists
+    and structures are hashed as JSON, in which their items can't run into each other.
     """
-    digest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0")) for c in columns]), 256)
+    nested = {f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))}
+    as_text = lambda c: F.to_json(c) if c in nested else F.col(c).cast("string")
+    digest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), as_text(c)), F.lit("0")) for c in columns]), 256)
     half = lambda k: F.conv(F.substring(digest, k, 8), 16, 10).cast("decimal(38,0)")
     sums = df.agg(F.count("*").alias("n"), F.sum(half(1)).alias("a"), F.sum(half(9)).alias("b"))
     return sums.select(F.col("n").alias("total_rows"), F.substring(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256), 1, 16).alias("fingerprint"))

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.plans import registry
+from chronoweave.sources import sinks
+from tests.test_queries import DATA
 
 EVENT = "snapshot_no int, received_at timestamp, event_id string, program_code string, course int, group_code string, stream_code string, event_date date, start_time string, end_time string, subject string, location_text string, teacher string, lesson_type string"
 
@@ -17,3 +23,28 @@ def test_stream_or_kind_alone_is_a_difference(spark, tmp_path):
     spark.createDataFrame(rows, EVENT).write.parquet(str(tmp_path / "event_snapshot.parquet"))
     got = {(r.event_id, r.stream_code, r.lesson_type, r.side) for r in registry.QUERIES["delivery_diff_whole"](spark, str(tmp_path)).collect()}
     assert got == {("stream", "A", "x", "removed"), ("stream", "B", "x", "added"), ("kind", "A", "x", "removed"), ("kind", "A", None, "added")}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_a_change_in_any_column_changes_the_fingerprint(spark, tmp_path):
+    def marks():
+        return {r.table_name: (r.fingerprint, r.all_tables) for r in registry.QUERIES["table_fingerprints"](spark, str(tmp_path)).collect()}
+
+    for p in DATA.glob("*.parquet"):
+        (shutil.copytree if p.is_dir() else shutil.copy)(p, tmp_path / p.name)
+    before = marks()
+    for name, column in (("roster", "stream_code"), ("schedule_event", "confidence")):
+        at = tmp_path / f"{name}.parquet"
+        changed = spark.read.parquet(str(DATA / at.name))
+        changed = changed.withColumn(column, F.lit(None).cast(changed.schema[column].dataType))
+        shutil.rmtree(at) if at.is_dir() else at.unlink()
+        changed.write.parquet(str(at))
+        spark.catalog.refreshByPath(str(at))
+    after = marks()
+    assert {name for name in before if before[name][0] != after[name][0]} == {"roster", "schedule_event"}
+    assert {v[1] for v in before.values()} != {v[1] for v in after.values()}
+
+
+def test_items_of_lists_do_not_run_into_each_other(spark):
+    mark = lambda v: sinks.fingerprint(spark.createDataFrame([(v,)], "v array<string>"), ["v"]).first().fingerprint
+    assert mark(["a, b"]) != mark(["a", "b"])
