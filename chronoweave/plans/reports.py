@@ -20,9 +20,18 @@ def subject_badges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subjects_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """The different subjects in the order of the Russian alphabet."""
-    found = table(spark, d, "manual_rule").where("subject IS NOT NULL").select(text.clean_text(F.col("subject")).alias("subject")).distinct()
-    return found.orderBy(F.collate("subject", "ru"))
+    """The different subjects of typed rules in the order of the Russian alphabet (``all_subjects_in_order`` has those of events, too)."""
+    return _subjects(spark, d, "manual_rule").distinct().orderBy(F.collate("subject", "ru"))
+
+
+def all_subjects_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The different subjects of events and typed rules in the order of the Russian alphabet, empty ones left out."""
+    found = _subjects(spark, d, "schedule_event").distinct().unionByName(_subjects(spark, d, "manual_rule").distinct())
+    return found.where("subject <> ''").distinct().orderBy(F.collate("subject", "ru"), "subject")
+
+
+def _subjects(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return table(spark, d, name).where("subject IS NOT NULL").select(text.clean_text(F.col("subject")).alias("subject"))
 
 
 def merged_periods(spark: SparkSession, d: str) -> DataFrame:
@@ -84,13 +93,15 @@ def capture_lag(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(middle, "parser_name", "left")
 
 
-QUERIES = {f.__name__: f for f in (subject_badges, subjects_in_order, merged_periods, period_slots, day_board, shifted_days, room_tails, long_days, capture_lag)}
+QUERIES = {f.__name__: f for f in (subject_badges, subjects_in_order, all_subjects_in_order, merged_periods, period_slots, day_board, shifted_days, room_tails, long_days, capture_lag)}
 
 ORACLE = {
     "subject_badges": f"""
 WITH e AS (SELECT DISTINCT lower({_clean("subject")}) AS k FROM schedule_event WHERE subject IS NOT NULL), r AS (SELECT lower({_clean("subject")}) AS k, count(*) AS n FROM manual_rule WHERE subject IS NOT NULL GROUP BY 1)
 SELECT e.k AS subject_key, COALESCE(r.n, 0) AS rules FROM e LEFT JOIN r USING (k)""",
     "subjects_in_order": f"SELECT DISTINCT {_clean('subject')} AS subject FROM manual_rule WHERE subject IS NOT NULL",
+    "all_subjects_in_order": f"""
+SELECT subject FROM (SELECT {_clean('subject')} AS subject FROM schedule_event WHERE subject IS NOT NULL UNION SELECT {_clean('subject')} FROM manual_rule WHERE subject IS NOT NULL) WHERE subject <> ''""",
     "merged_periods": """
 SELECT plan_code, from_date, to_date, period_kind FROM study_period WHERE period_kind <> 'assessment'
 UNION ALL SELECT plan_code, from_date, to_date, period_kind FROM study_period a WHERE period_kind = 'assessment' AND NOT EXISTS (

@@ -48,3 +48,10 @@ def test_a_change_in_any_column_changes_the_fingerprint(spark, tmp_path):
 def test_items_of_lists_do_not_run_into_each_other(spark):
     mark = lambda v: sinks.fingerprint(spark.createDataFrame([(v,)], "v array<string>"), ["v"]).first().fingerprint
     assert mark(["a, b"]) != mark(["a", "b"])
+
+
+def test_subjects_of_events_are_listed(spark, tmp_path):
+    for name, subjects in (("schedule_event", ["яды", "ёлки", None, " "]), ("manual_rule", ["жуки", "ёлки", "Азы"])):
+        spark.createDataFrame([(s,) for s in subjects], "subject string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = [r.subject for r in registry.QUERIES["all_subjects_in_order"](spark, str(tmp_path)).collect()]
+    assert got == ["Азы", "ёлки", "жуки", "яды"]
