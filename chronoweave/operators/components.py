@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
 
     Each round links all larger neighbours of a node to its smallest one, then the rest likewise; the number of rounds grows
     with the logarithm of the longest path. The lineage is cut every round by checkpoint(), which the loss of an executor
-    doesn't touch. Edges with a null end and edges from a node to itself are left out.
+    doesn't touch. Edges with a null end and edges from a node to itself are left out. If the last of ``rounds`` still changed
+    links, components would be unfinished: that is an error.
     """
     shared_folder(edges.sparkSession)
     links = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
@@ -35,6 +36,9 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
         links, mark = _kept(small.where("a <> b").distinct())
         if mark == last:
             break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components are unfinished after {rounds} rounds")
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 

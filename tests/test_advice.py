@@ -8,6 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.operators import components
 from chronoweave.plans import registry
 from chronoweave.sources import sinks
 from tests.test_queries import DATA
@@ -55,3 +56,10 @@ def test_subjects_of_events_are_listed(spark, tmp_path):
         spark.createDataFrame([(s,) for s in subjects], "subject string").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = [r.subject for r in registry.QUERIES["all_subjects_in_order"](spark, str(tmp_path)).collect()]
     assert got == ["Азы", "ёлки", "жуки", "яды"]
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a int, b int")
+    with pytest.raises(RuntimeError, match="unfinished after 2 rounds"):
+        components.connected_components(chain, "a", "b", rounds=2)
+    assert {r.component for r in components.connected_components(chain, "a", "b").collect()} == {0}
