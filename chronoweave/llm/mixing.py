@@ -34,23 +34,27 @@ def _running(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = source[-1], int(upto[-1])
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | str | None = None) -> DataFrame:
     """What each source gives: ``source``, ``target_share``, ``max_repeats``, ``available``, ``budget``.
 
     ``total`` is the wanted size of the result. If it is not given, it is the largest one at which every source that has
     records can hold its share, so that the shares come out as wanted; a larger one leaves small sources short of theirs.
+    ``"available"`` asks for as much as all sources with a target hold.
     """
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     held = sizes.groupBy("source").agg(F.sum("size").alias("available"))
     plan = wanted.join(held, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     most = F.col("available") * F.col("max_repeats")
     every = Window.partitionBy()  # one row per source
-    limit = F.lit(total) if total is not None else F.min(F.when(F.col("available") > 0, most / F.col("target_share"))).over(every)
+    if total is None:
+        limit = F.min(F.when(F.col("available") > 0, most / F.col("target_share"))).over(every)
+    else:
+        limit = F.sum("available").over(every) if total == "available" else F.lit(total)
     budget = F.least(most.cast("double"), F.coalesce(F.col("target_share") * limit, F.lit(0.0)))
     return plan.withColumn("budget", F.floor(budget + 1e-6).cast("long"))
 
 
-def mix(records: DataFrame, row_id: str, source: str, size: str, targets: DataFrame, total: int | None = None, seed: int = 20260831) -> tuple[DataFrame, DataFrame]:
+def mix(records: DataFrame, row_id: str, source: str, size: str, targets: DataFrame, total: int | str | None = None, seed: int = 20260831) -> tuple[DataFrame, DataFrame]:
     """The chosen records with their repeats (``row_id``, ``source``, ``size``, ``repeats``), and the shares reached
     (``source``, ``target_share``, ``max_repeats``, ``available``, ``budget``, ``reached``, ``share``, ``met``).
 

@@ -59,7 +59,7 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return token_ids(table(spark, directory, "documents"), "text", ["doc_id"])
 
 
-def _mixed(spark: SparkSession, directory: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, directory: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     counted = token_counts(table(spark, directory, "documents"), "text", ["doc_id", "source"])
     return mix(counted, "doc_id", "source", "tokens", table(spark, directory, "mix_target"), total)
 
@@ -74,6 +74,11 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mixed(spark, directory)[1]
 
 
+def p8_shares_of_corpus(spark: SparkSession, directory: str) -> DataFrame:
+    """The same for a mixture as large as the corpus, in which scarce sources fall short of their targets."""
+    return _mixed(spark, directory, "available")[1]
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents whose text was read in a wrong encoding, wholly or in part."""
     return garbled(table(spark, directory, "documents"), "doc_id", "text")[0].select(F.col("doc").alias("doc_id"))
@@ -84,7 +89,7 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return restored(table(spark, directory, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_lessons, p5_found, p5_forms, p6_people, p6_found, p7_ids, p8_mix, p8_shares, p8_shares_of_corpus, p9_found, p9_restored)}
 
 
 def _bare_sql(c: str) -> str:

@@ -63,3 +63,15 @@ def test_unfinished_components_are_an_error(spark):
     with pytest.raises(RuntimeError, match="unfinished after 2 rounds"):
         components.connected_components(chain, "a", "b", rounds=2)
     assert {r.component for r in components.connected_components(chain, "a", "b").collect()} == {0}
+
+
+def test_shares_of_the_corpus_show_who_falls_short(spark, tmp_path):
+    llm = pytest.importorskip("chronoweave.llm.queries")
+    docs = [(n, "слово " * 20, "big") for n in range(90)] + [(100 + n, "слово " * 20, "small") for n in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    got = {r.source: r for r in llm.QUERIES["p8_shares_of_corpus"](spark, str(tmp_path)).collect()}
+    held = got["big"].available + got["small"].available
+    assert got["big"].budget == pytest.approx(0.6 * held, abs=1)
+    assert got["small"].reached == 2 * got["small"].available < 0.4 * held
+    assert not got["small"].met
