@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.temporal import instant_to_local, local_to_instant
+from chronoweave.operators.orders import by_instant
 
 #: Without an end a series goes on for so many days; no series has more occurrences than MOST.
 HORIZON, MOST = 730, 2000
@@ -77,10 +78,10 @@ def change_occurrences(rows: DataFrame, series_id: str, index: int, scope: str,
 
 
 def in_range(rows: DataFrame, owner: str, start: str, end: str, status: str | None = None, category: str | None = None) -> DataFrame:
-    """An owner's events that end after ``start`` and begin before ``end`` (instants with a zone), in order of their start."""
+    """An owner's events that end after ``start`` and begin before ``end`` (instants with a zone), in order of start and title (O2)."""
     a, z = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
     found = rows.where((F.col("owner_id") == owner) & (F.col("end_at") > a) & (F.col("start_at") < z))
     for column, wanted in (("status", status), ("category", category)):
         if wanted is not None:
             found = found.where(F.col(column) == wanted)
-    return found.orderBy("start_at", "title")
+    return found.orderBy(*by_instant())

@@ -420,7 +420,7 @@ def most_common(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_date, start_time FROM (SELECT DISTINCT event_id, event_date, start_time FROM schedule_event WHERE event_date >= DATE '2026-11-01') ORDER BY event_date, start_time, event_id LIMIT 5")
 def upcoming(spark: SparkSession, d: str) -> DataFrame:
-    """The five next events from a day on: a top-k report."""
+    """The five next events from a day on, by day, start and id: a top-k report (O8; the orders O1 to O6 are in ``operators.orders``)."""
     e = table(spark, d, "schedule_event").where("event_date >= DATE '2026-11-01'").select("event_id", "event_date", "start_time").distinct()
     return e.orderBy("event_date", "start_time", "event_id").limit(5)
 

@@ -8,7 +8,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import components
+from chronoweave.operators import components, orders, recurrence
 from chronoweave.plans import registry
 from chronoweave.sources import sinks
 from tests.test_queries import DATA
@@ -75,3 +75,20 @@ def test_shares_of_the_corpus_show_who_falls_short(spark, tmp_path):
     assert got["big"].budget == pytest.approx(0.6 * held, abs=1)
     assert got["small"].reached == 2 * got["small"].available < 0.4 * held
     assert not got["small"].met
+
+
+def test_orders_of_events_and_tasks(spark):
+    lessons = spark.createDataFrame([(1, None, 0, "a"), (2, 0, 0, "б"), (3, 2, None, "a"), (4, 2, 6, "я"), (5, 2, 6, "ё"), (6, 2, 6, None)], "id int, week_number int, weekday int, subject string").selectExpr("*", "'09:00' AS start_time", "'1' AS group_code", "DATE '2026-09-01' AS event_date")
+    ids = lambda df, order: [r.id for r in df.orderBy(*order).collect()]
+    assert ids(lessons, orders.by_week_and_group()) == [6, 4, 5, 3, 1, 2]
+    assert ids(lessons.where("id IN (4, 5)"), orders.by_date_and_group()) == [4, 5]
+    assert ids(lessons.where("id IN (4, 5)"), orders.by_date()) == ids(lessons.where("id IN (4, 5)"), orders.by_week()) == [5, 4]
+    tasks = spark.createDataFrame([(1, None, 1), (2, "2026-09-02", 1), (3, "2026-09-01", 1), (4, "2026-09-01", 2), (5, None, 2)], "id int, due string, created_at int")
+    assert ids(tasks, orders.by_due()) == [4, 3, 2, 5, 1]
+
+
+def test_titles_of_one_start_are_in_russian_order(spark):
+    rows = spark.createDataFrame([("o", "я"), ("o", "ё"), ("o", "а"), ("o", "Б")], "owner_id string, title string")
+    rows = rows.selectExpr("*", "TIMESTAMP '2026-09-01 09:00:00Z' AS start_at", "TIMESTAMP '2026-09-01 10:00:00Z' AS end_at")
+    got = [r.title for r in recurrence.in_range(rows, "o", "2026-09-01T00:00:00Z", "2026-09-02T00:00:00Z").collect()]
+    assert got == ["а", "Б", "ё", "я"]
