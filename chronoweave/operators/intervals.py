@@ -127,9 +127,11 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str)
 
     Columns out: the entity columns, ``piece`` (``period`` or ``gap``), ``from_day`` and ``to_day`` (``YYYY-MM-DD``, both included).
 
-    An ordered map of disjoint intervals is kept per entity; every insertion finds its overlaps by binary search. It is kept
-    twice: first per task over the rows as they are read, so that only disjoint intervals are shuffled and an entity that
-    holds a third of all rows shrinks to at most one interval per other day, then per entity over what came out of the tasks.
+    An ordered map of disjoint intervals is kept per entity; an insertion finds its overlaps by binary search. It is kept
+    twice: first per task, so that only disjoint intervals are shuffled and an entity that holds a third of all rows shrinks
+    to at most one interval per other day, then per entity over what came out of the tasks. In a task, the rows of a batch
+    are merged by sort and running maximum first, and only these runs are inserted; after the shuffle the map is a variable
+    of a scan over rows sorted by entity and start.
 
     A row with a null bound, or one that begins after it ends, covers no day. Intervals that touch day to day are continuous.
     A null entity column is a value like any other. An entity with no covered day, and an empty table, give no rows.
