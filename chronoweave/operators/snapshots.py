@@ -6,14 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronoweave.functions.clock import clock_identity
 
-#: Up to so many deliveries their list is sent to every task; beyond it the list is joined by shuffle.
-DELIVERIES_SENT = 100_000
-
-
 def content_hash(df: DataFrame, columns: Sequence[str], clocks: Sequence[str] = ()) -> F.Column:
     """A 64-bit hash of the row's content. Nulls count (a null equals only a null); clocks count as times of day."""
     parts: list[F.Column] = []
@@ -26,16 +21,10 @@ def content_hash(df: DataFrame, columns: Sequence[str], clocks: Sequence[str] =
 def deliveries(df: DataFrame, snapshot: str) -> DataFrame:
     """One row per delivered snapshot: ``__snap``, the one before it ``__prev`` and after it ``__next`` (null at the ends).
 
-    Only the snapshot column is read. The list has one row per delivery and is broadcast only after it was counted.
+    Only the snapshot column is read, and reduced before the shuffle. The list itself is in one task: it has one row per
+    delivery, whatever the size of the deliveries. Nothing is hinted: Spark sends it to every task as measured.
     """
-    spark = df.sparkSession
     distinct = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).cast("long").alias("__snap")).distinct()
-    head = [r[0] for r in distinct.limit(DELIVERIES_SENT + 1).collect()]
-    if len(head) <= DELIVERIES_SENT:
-        head.sort()
-        rows = list(zip(head, [None, *head][: len(head)], [*head[1:], None][: len(head)], strict=True))
-        schema = T.StructType([T.StructField(c, T.LongType()) for c in ("__snap", "__prev", "__next")])
-        return F.broadcast(spark.createDataFrame(rows, schema))
     order = Window.orderBy("__snap")
     return distinct.select("__snap", F.lag("__snap").over(order).alias("__prev"), F.lead("__snap").over(order).alias("__next"))
 
@@ -48,8 +37,8 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[s
 
     Columns out: ``snapshot`` (of the later delivery), ``key``, ``change_kind`` (added, removed, changed).
     Numbers left out in the deliveries are no deliveries. The first delivery has no cases. Repeated rows of a key in a
-    snapshot count once, whenever they arrived; if their contents differ, the smallest and the largest content hash stand
-    for them all. Rows with a null key are no records, though their snapshot counts as delivered; rows with a null snapshot
+    snapshot count once, whenever they arrived; if their contents differ, all of them are compared: the number of different
+    contents, the smallest and the largest hash, and the exclusive or of all hashes. Rows with a null key are no records, though their snapshot counts as delivered; rows with a null snapshot
     are left out. An empty table gives no rows.
     """
     kind = df.schema[snapshot].dataType
@@ -57,14 +46,14 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[s
         df.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
         .select(F.col(key).alias("__key"), F.col(snapshot).cast("long").alias("__snap"), content_hash(df, content, clocks).alias("__hash"))
         .groupBy("__key", "__snap")
-        .agg(F.min("__hash").alias("__low"), F.max("__hash").alias("__high"))
+        .agg(F.struct(F.count_distinct("__hash"), F.expr("bit_xor(DISTINCT __hash)"), F.min("__hash"), F.max("__hash")).alias("__content"))
         .join(deliveries(df, snapshot), "__snap")
     )
     by = Window.partitionBy("__key").orderBy("__snap")
     before, after = F.lag("__snap").over(by), F.lead("__snap").over(by)
     seen = rows.select(
         "__key", "__snap", "__prev", "__next", before.alias("__before"), after.alias("__after"),
-        ((F.lag("__low").over(by) != F.col("__low")) | (F.lag("__high").over(by) != F.col("__high"))).alias("__differs"),
+        (F.lag("__content").over(by) != F.col("__content")).alias("__differs"),
     )
     came = F.col("__prev").isNotNull() & ~F.col("__before").eqNullSafe(F.col("__prev"))
     changed = F.col("__before").eqNullSafe(F.col("__prev")) & F.col("__differs")

@@ -98,12 +98,12 @@ WITH content AS (
   SELECT DISTINCT event_id, snapshot_no,
     hash(ROW(program_code, course, group_code, stream_code, event_date, {_clock_sql("start_time")}, {_clock_sql("end_time")}, subject, location_text, teacher, lesson_type)) AS h
   FROM event_snapshot WHERE event_id IS NOT NULL AND snapshot_no IS NOT NULL),
-one AS (SELECT event_id, snapshot_no, min(h) AS lo, max(h) AS hi FROM content GROUP BY ALL),
+one AS (SELECT event_id, snapshot_no, list_sort(list(DISTINCT h)) AS hs FROM content GROUP BY ALL),
 d AS (SELECT snapshot_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT snapshot_no FROM event_snapshot WHERE snapshot_no IS NOT NULL)),
 pairs AS (SELECT * FROM d WHERE before IS NOT NULL)
 SELECT CAST(p.snapshot_no AS INT) AS snapshot_no, n.event_id, CASE WHEN o.event_id IS NULL THEN 'added' ELSE 'changed' END AS change_kind
 FROM pairs p JOIN one n ON n.snapshot_no = p.snapshot_no LEFT JOIN one o ON o.snapshot_no = p.before AND o.event_id = n.event_id
-WHERE o.event_id IS NULL OR o.lo <> n.lo OR o.hi <> n.hi
+WHERE o.event_id IS NULL OR o.hs <> n.hs
 UNION ALL
 SELECT CAST(p.snapshot_no AS INT), o.event_id, 'removed'
 FROM pairs p JOIN one o ON o.snapshot_no = p.before LEFT JOIN one n ON n.snapshot_no = p.snapshot_no AND n.event_id = o.event_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
 import shutil
 
 import pytest
@@ -65,6 +66,27 @@ def test_unfinished_components_are_an_error(spark):
     assert {r.component for r in components.connected_components(chain, "a", "b").collect()} == {0}
 
 
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}  # noqa: RUF012
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        components.shared_folder(Session())
+
+
+def test_files_of_finished_rounds_are_deleted(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int")
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.glob("rdd-*")}
+    assert components.connected_components(chain, "a", "b").count() == 41
+    assert len({p.name for p in folder.glob("rdd-*")} - before) == 1
+
+
 def test_shares_of_the_corpus_show_who_falls_short(spark, tmp_path):
     llm = pytest.importorskip("chronoweave.llm.queries")
     docs = [(n, "слово " * 20, "big") for n in range(90)] + [(100 + n, "слово " * 20, "small") for n in range(10)]

@@ -44,6 +44,12 @@ def test_snapshots_equal_brute_force(spark):
     assert changes(spark, rows) == sorted(wanted)
 
 
+def test_every_content_of_a_snapshot_counts(spark):
+    rows = [(1, "a", "8:00", b, "") for b in "xyzw"] + [(2, "a", "8:00", b, "") for b in "xyvw"] + [(3, "a", "8:00", b, "") for b in "wvyxx"]
+    assert [c for body in ("xyz", "zyx", "xvz", "xz") for c in changes(spark, [(1, "b", None, b, "") for b in "xyz"] + [(2, "b", None, b, "") for b in body])] == [(2, "b", "changed")] * 2
+    assert changes(spark, rows) == [(2, "a", "changed")]
+
+
 def _days(intervals):
     return {d for a, z in intervals for d in range(a, z + 1)}
 
