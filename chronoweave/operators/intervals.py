@@ -136,15 +136,15 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str)
     A row with a null bound, or one that begins after it ends, covers no day. Intervals that touch day to day are continuous.
     A null entity column is a value like any other. An entity with no covered day, and an empty table, give no rows.
     """
-    # Nulls are marked, so that they stay apart from every text.
-    packed = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0")) for c in entity])
+    # One text, written as JSON, so that nulls stay apart from every text and parts can't run into each other.
+    packed = F.to_json(F.array(*[F.col(c).cast("string") for c in entity]))
     days = df.where(F.col(start) <= F.col(end)).select(
         packed.alias("__entity"), F.unix_date(F.col(start).cast("date")).alias("__start"), F.unix_date(F.col(end).cast("date")).alias("__end")
     )
     schema = "__entity string, __start int, __end int"
     partial = days.mapInArrow(_collapse, schema)
     whole = partial.repartition("__entity").sortWithinPartitions("__entity", "__start").mapInArrow(_pieces, "__entity string, piece string, __start int, __end int")
-    parts = F.split("__entity", "\u0001")
-    names = [F.when(parts[k] != "0", F.substring(parts[k], 2, 1_000_000)).cast(df.schema[c].dataType).alias(c) for k, c in enumerate(entity)]
+    parts = F.from_json("__entity", "array<string>")
+    names = [parts[k].cast(df.schema[c].dataType).alias(c) for k, c in enumerate(entity)]
     iso = lambda c: F.date_from_unix_date(c).cast("string")
     return whole.select(*names, "piece", iso("__start").alias("from_day"), iso("__end").alias("to_day"))

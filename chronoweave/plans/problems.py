@@ -27,7 +27,7 @@ def p1_changes_per_snapshot(spark: SparkSession, directory: str) -> DataFrame:
 def _references(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """All references in one table (kind-prefixed key, day, where from), and all targets alike."""
     groups = packed_key(F.lit("group"), F.col("program_code"), F.col("course"), F.upper(_bare("group_code")))
-    urls = packed_key(F.lit("url"), F.regexp_replace("source_url", "(?s)#.*$", ""))
+    urls = packed_key(F.lit("url"), F.substring_index("source_url", "#", 1))
     asked = []
     for name, row_key, day in (("schedule_event", "event_id", "ingested_on"), ("roster", "roster_id", "listed_on")):
         rows = table(spark, directory, name)
@@ -42,13 +42,17 @@ def _references(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
         )
     held = table(spark, directory, "group_ref").where(F.col("group_code").isNotNull()).select(groups.alias("key"), F.col("opened_on").alias("first"), F.col("closed_on").alias("last"))
     pages = table(spark, directory, "source_provenance").where(F.col("url").isNotNull())
-    pages = pages.select(packed_key(F.lit("url"), F.regexp_replace("url", "(?s)#.*$", "")).alias("key"), F.col("first_seen_on").alias("first"), F.col("withdrawn_on").alias("last"))
+    pages = pages.select(packed_key(F.lit("url"), F.substring_index("url", "#", 1)).alias("key"), F.col("first_seen_on").alias("first"), F.col("withdrawn_on").alias("last"))
     return asked[0].unionByName(asked[1]), held.unionByName(pages)
 
 
+# All blanks of Unicode.
+_BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _bare(name: str) -> F.Column:
     """Without blanks of any kind around it."""
-    return F.regexp_replace(name, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.trim(F.col(name), F.lit(_BLANKS))
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:

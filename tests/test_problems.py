@@ -121,6 +121,33 @@ def test_references_equal_brute_force(spark):
     assert unheld_references(rows.limit(0), empty, "key", "day", "k", "a", "z").count() == 0
 
 
+def test_keys_that_share_a_hash_and_odd_keys(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from chronoweave.operators.references import _Targets
+
+    keys, hashes = ["b", "a", "c\0", "c", "", "a"], [7, 7, 7, 9, 1, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes, pa.int64()), pa.array([1] * 6, pa.int32()), pa.array([None] * 6, pa.int32())], ["__ref", "__hash", "__from", "__to"])
+    found = _Targets([batch])
+    asked = ["c\0", "a", "b", "c", "d", "x", "", "z"]
+    place, there = found.find(np.array([7, 7, 7, 9, 7, 3, 1, 99]), pa.array(asked))
+    assert there.tolist() == [True, True, True, True, False, False, True, False]
+    assert [found.key[int(p)].as_py() for p, t in zip(place, there, strict=True) if t] == ["c\0", "a", "b", "c", ""]
+    row = spark.createDataFrame([("a\u0001=b", "c", "a", "b\u0001=c", "\u0002")], "a string, b string, c string, d string, e string")
+    from chronoweave.operators.references import packed_key
+
+    packed = row.select(packed_key(F.col("a"), F.col("b")), packed_key(F.col("c"), F.col("d")), packed_key(F.col("e")), packed_key(F.lit("\u0002\u0002"))).first()
+    assert len(set(packed)) == 4
+
+
+def test_entities_of_any_length(spark):
+    long = "x" * 1_500_000 + "\u0001\u0002\n\""
+    frame = spark.createDataFrame([(long, None, dt.date(2026, 1, 1), dt.date(2026, 1, 2))], "e string, n int, a date, z date")
+    (row,) = periods_and_gaps(frame, ["e", "n"], "a", "z").collect()
+    assert (row.e, row.n, row.to_day) == (long, None, "2026-01-02")
+
+
 def test_extra_and_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "a", "8:00", "x", "e"), (2, "a", "8:00", "y", "e")], SNAP).withColumn("change_kind", F.lit("mine")).withColumn("snapshot_no", F.lit(5))
     assert [tuple(r) for r in snapshot_changes(frame, "id", "no", ["clock", "body"], ["clock"]).collect()] == [(2, "a", "changed")]
