@@ -10,9 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.components import shared_folder
+from chronoweave.operators.sizes import sent_if_small
+
+# Signs that are no content, and invisible breaks; blanks of any kind are separators (Z) or controls (Cc).
 _SIGN = r"[\p{P}$+<=>^`|~]"
-#: Whitespace and invisible breaks anywhere; a sign unless a digit stands on both sides of it.
-NOISE = rf"(?U)[\s\p{{Z}}\p{{Cc}}\x{{200B}}\x{{2060}}\x{{FEFF}}]|(?<!\p{{Nd}}){_SIGN}|{_SIGN}(?!\p{{Nd}})"
+_BLANK = r"[\p{Z}\p{Cc}\x{200B}\x{2060}\x{FEFF}]"
+#: Blanks anywhere; a sign unless a digit stands on both sides of it. Letters and digits are passed over by one look.
+NOISE = rf"(?![\p{{L}}\p{{Nd}}])(?:{_BLANK}|{_SIGN}(?:(?!\p{{Nd}})|(?<!\p{{Nd}}.)))"
 
 
 def bare_text(text: Column) -> Column:
@@ -21,11 +26,13 @@ def bare_text(text: Column) -> Column:
 
 
 def canonical_record(exact: Sequence[str], free: Sequence[str]) -> Column:
-    """One text, equal for copies only: the exact columns in order, then the bare free columns in sorted order. Null equals only null."""
+    """One text, equal for copies only: the exact columns in order, then the bare free columns in sorted order. Null equals
+    only null, and values can't run into each other: the separator is a control character, which bare texts don't hold and
+    which is written as two in exact ones."""
     mark = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("0"))
-    fixed = [mark(F.col(c).cast("string")) for c in exact]
+    fixed = [mark(F.replace(F.col(c).cast("string"), F.lit("\u0001"), F.lit("\u0001\u0001"))) for c in exact]
     moving = F.array_sort(F.array(*[mark(bare_text(F.col(c).cast("string"))) for c in free]))
-    return F.concat_ws("\u0001", *fixed, moving)
+    return F.concat_ws("\u0001|", *fixed, moving)
 
 
 def _runs(key: pa.Array, last: str | None) -> np.ndarray:
@@ -68,16 +75,18 @@ def copies(df: DataFrame, row_id: str, exact: Sequence[str], free: Sequence[str]
 
     Records are range-partitioned by (canonical text, id) and sorted; each task scans neighbours and compares full keys, so no
     two different records are ever taken for copies. Because the id is part of the range key, a group of copies that holds a
-    third of all rows is cut over many tasks. Runs that may go on in the next task are the first and last of each task: at
-    most two per task are gathered and joined back by their first id, which bounds what is sent to every task.
+    third of all rows is cut over many tasks. What the scan gives out is written once, so that rows and the runs at the
+    borders of tasks are of one and the same partitioning. Runs that may go on in the next task are the first and last of each
+    task: at most two per task are gathered and joined back by their first id, sent to every task after they were measured.
 
     Rows with a null id are left out; a row that is there twice counts once. Empty texts, blank texts and texts of signs only
     are equal to each other and not to null. An empty table gives no rows.
     """
-    scanned = _sorted_records(df, row_id, exact, free).mapInArrow(_scan_rows, "id long, rep long, edge string")
+    shared_folder(df.sparkSession)
+    scanned = _sorted_records(df, row_id, exact, free).mapInArrow(_scan_rows, "id long, rep long, edge string").checkpoint()
     edge = scanned.where(F.col("edge").isNotNull()).groupBy("edge").agg(F.min("rep").alias("first"), F.collect_set("rep").alias("reps"))
-    moved = edge.select("first", F.explode("reps").alias("rep")).where("rep <> first")
-    return scanned.where(F.col("id").isNotNull()).join(F.broadcast(moved), "rep", "left").select("id", F.coalesce("first", "rep").alias("rep"))
+    moved = edge.select("first", F.explode("reps").alias("rep")).where("rep <> first").checkpoint()
+    return scanned.where(F.col("id").isNotNull()).join(sent_if_small(moved), "rep", "left").select("id", F.coalesce("first", "rep").alias("rep"))
 
 
 def distinct_records(df: DataFrame, row_id: str, exact: Sequence[str], free: Sequence[str]) -> DataFrame:

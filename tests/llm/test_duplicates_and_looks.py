@@ -7,6 +7,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import pytest
+
 from chronoweave.llm.duplicates import copies, distinct_records
 from chronoweave.llm.lookalikes import canonical_values, odd_rows, one_form
 
@@ -60,6 +62,27 @@ def test_runs_over_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("parts", ["4", "16", "64"])
+def test_rows_and_borders_are_of_one_partitioning(spark, parts):
+    settings = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": parts}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = [(n, "x", f"слово {n // 7}", None, None, "") for n in range(3000)]
+        out = copies(spark.createDataFrame(rows, COPY).repartition(5), "raw_id", ["kind"], ["a", "b", "c"])
+        assert {(r.id, r.rep) for r in out.collect()} == {(n, n // 7 * 7) for n in range(3000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_values_do_not_run_into_each_other(spark):
+    rows = [(1, "x\u0001|=y", "a", None, None, ""), (2, "x", "a", None, None, ""), (3, "x\u0001", "a", None, None, ""), (4, "x\u0001\u0001", "a", None, None, "")]
+    out = copies(spark.createDataFrame(rows, COPY), "raw_id", ["kind"], ["a", "b", "c"])
+    assert {(r.id, r.rep) for r in out.collect()} == {(n, n) for n in (1, 2, 3, 4)}
+
+
 def test_no_copies(spark):
     assert copies(spark.createDataFrame([], COPY), "raw_id", ["kind"], ["a", "b", "c"]).count() == 0
     long = spark.createDataFrame([(1, "x", "слово " * 200_000, None, None, ""), (2, "x", "СЛОВО, " * 200_000, None, None, "")], COPY)
