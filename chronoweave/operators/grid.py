@@ -19,66 +19,83 @@ from chronoweave.functions.text import clean_text
 # Words of a header row, weekday names in order, and names of buildings that end a place.
 HEADER = "день|недел|время|групп|дисцип|предмет|место|ауд|препод"
 WEEKDAYS = ("понедельник|пн", "вторник|вт", "среда|ср", "четверг|чт", "пятница|пт", "суббота|сб", "воскресенье|вс")
-BUILDINGS = "ЦДТИ АСЦ ШКОЛА Башня КПК Солнечное Пархоменко ПЦ МНТК КВД ЛРК ИМО ДЛРК РНХИ СПБ НМИЦ НИИ ФГБНУ"
+BUILDINGS = ("ЦДТИ", "АСЦ", "ШКОЛА", "Башня", "КПК", "Солнечное", "Пархоменко", "ПЦ", "МНТК", "КВД", "ЛРК", "ИМО", "ДЛРК", "РНХИ", "СПБ", "НМИЦ", "НИИ", "ФГБНУ")
 GROUP = r"^\d{3,4}[А-ЯA-Z]{0,3}$"
 
 
-class _Table(HTMLParser):
-    """The cells of all rows with their spans."""
+class _Tables(HTMLParser):
+    """Every table of a page as rows of cells with their spans; a table inside a cell is one of its own. Rows that stand in no
+    table make one together."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list[tuple[str, int, int]]] = []
-        self.text: list[str] | None = None
-        self.span = (1, 1)
+        self.tables: list[list[list[tuple[str, int, int]]]] = []
+        self.open: list[dict] = []
+
+    def _begin(self) -> None:
+        self.tables.append([])
+        self.open.append({"rows": self.tables[-1], "text": None, "span": (1, 1)})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table" or (tag in ("tr", "td", "th") and not self.open):
+            self._begin()
+        now = self.open[-1] if self.open else None
         if tag == "tr":
             self._end_cell()
-            self.rows.append([])
+            now["rows"].append([])
         elif tag in ("td", "th"):
             self._end_cell()
             named = dict(attrs)
             size = lambda k: max(1, int(m.group())) if (m := re.match(r"\d+", named.get(k) or "")) else 1
-            self.span, self.text = (size("rowspan"), size("colspan")), []
-        elif tag == "br" and self.text is not None:
-            self.text.append(" ")
+            now["span"], now["text"] = (size("rowspan"), size("colspan")), []
+        elif tag == "br" and now and now["text"] is not None:
+            now["text"].append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th", "tr", "table"):
             self._end_cell()
+        if tag == "table" and self.open:
+            self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.text is not None:
-            self.text.append(data)
+        if self.open and self.open[-1]["text"] is not None:
+            self.open[-1]["text"].append(data)
 
     def _end_cell(self) -> None:
-        if self.text is not None and self.rows:
-            self.rows[-1].append((" ".join("".join(self.text).split()), *self.span))
-        self.text = None
+        if self.open and (now := self.open[-1])["text"] is not None:
+            if not now["rows"]:
+                now["rows"].append([])
+            now["rows"][-1].append((" ".join("".join(now["text"]).split()), *now["span"]))
+            now["text"] = None
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            self._end_cell()
+            self.open.pop()
 
 
 def html_cells(html: str) -> list[tuple[int, int, str]]:
-    """The grid of an HTML table: a cell with spans fills all its places; later cells go around them."""
-    table = _Table()
-    table.feed(html)
-    table.close()
-    table._end_cell()
+    """The grid of the table with most rows, the first of equals: a cell with spans fills all its places; later cells go around them."""
+    page = _Tables()
+    page.feed(html)
+    page.finish()
+    rows = max(page.tables, key=len, default=[])
     grid: dict[tuple[int, int], str] = {}
-    for r, cells in enumerate(table.rows):
+    for r, cells in enumerate(rows):
         c = 0
         for text, down, across in cells:
             while (r, c) in grid:
                 c += 1
-            for dr in range(down):
+            for dr in range(min(down, len(rows) - r)):
                 for dc in range(across):
                     grid.setdefault((r + dr, c + dc), text)
             c += across
-    return sorted((r, c, text) for (r, c), text in grid.items() if r < len(table.rows))
+    return sorted((r, c, text) for (r, c), text in grid.items())
 
 
 def html_grid(pages: DataFrame, doc: str, html: str) -> DataFrame:
-    """The grids of pages: ``doc``, ``row``, ``col``, ``text``. Null pages and pages without rows give none."""
+    """The grid of each page's largest table: ``doc``, ``row``, ``col``, ``text``. Null pages and pages without rows give none."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,18 +161,64 @@ def lessons_by_group_row(grid: DataFrame) -> DataFrame:
 
 
 _WEEKS = re.compile(r"\(\s*(?:нед\.?\s*)?(\d{1,2}(?:\s*[-–—,;]\s*\d{1,2})*)\s*(?:нед\.?\s*)?\)", re.IGNORECASE)
-_ROOM = r"(?:ауд|каб)\.?\s*[\w./№-]+|зал\s+(?:[«\"“][^»\"”]+[»\"”]|[\w./-]+)"
-_NAMES = "|".join(BUILDINGS.split())
-_PLACE = re.compile(rf"База\s+практической\s+подготовки|(?<!\w)(?:{_NAMES})\s*,\s*(?:{_ROOM}|[«\"“][^»\"”]+[»\"”]|[\w./-]+)|{_ROOM}|(?<!\w)(?:{_NAMES})(?!\w)", re.IGNORECASE)
 _EDGE = " ,/;"
+# Words before the number of a room, and the name of a place of several words.
+ROOMS, HALL = ("ауд", "аудитория", "каб", "кабинет"), "зал"
+BASE = ("база", "практической", "подготовки")
+_PARTS = re.compile(r"[«\"“][^»\"”]+[»\"”]|[\w./№-]+|[^\w\s]")
+_KNOWN = {b.lower() for b in BUILDINGS}
+
+
+class _Places:
+    """A small grammar of places over the parts of a text (words, quoted names, signs):
+
+    place = base | building [ "," (room | part) ] | room;  room = room word and number | hall and its name.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.parts = list(_PARTS.finditer(text))
+        self.words = [m.group().lower() for m in self.parts]
+        self.spans: list[tuple[int, int]] = []
+        k = 0
+        while k < len(self.words):
+            end = self._place(k)
+            if end > k:
+                self.spans.append((self.parts[k].start(), self.parts[end - 1].end()))
+            k = max(end, k + 1)
+
+    def _named(self, k: int) -> bool:
+        """Whether a word or a quoted name stands here."""
+        return k < len(self.words) and (self.words[k][0].isalnum() or self.words[k][0] in "«\"“_./№-")
+
+    def _room(self, k: int) -> int:
+        """Where a room that begins here ends; k if none does."""
+        word = self.words[k]
+        stem, dot, number = word.partition(".")
+        if stem in ROOMS:
+            return k + 1 if number else k + 2 if self._named(k + 1) else k
+        if any(word.startswith(r) and word[len(r)].isdigit() for r in ROOMS if len(word) > len(r)):
+            return k + 1
+        return k + 2 if word == HALL and self._named(k + 1) else k
+
+    def _place(self, k: int) -> int:
+        if tuple(self.words[k : k + 3]) == BASE:
+            return k + 3
+        if self.words[k] not in _KNOWN:
+            return self._room(k)
+        if k + 2 < len(self.words) and self.words[k + 1] == "," and self._named(k + 2):
+            return max(self._room(k + 2), k + 3)
+        return k + 1
 
 
 def _after_place(text: str) -> tuple[str, str]:
     """A text cut after its last place: (up to it, what follows)."""
-    last = None
-    for last in _PLACE.finditer(text):
-        pass
-    return (text[: last.end()].strip(_EDGE), text[last.end() :].strip(_EDGE)) if last else ("", text.strip(_EDGE))
+    spans = _Places(text).spans
+    return (text[: spans[-1][1]].strip(_EDGE), text[spans[-1][1] :].strip(_EDGE)) if spans else ("", text.strip(_EDGE))
+
+
+def _begins_with_place(text: str) -> bool:
+    spans = _Places(text).spans
+    return bool(spans) and spans[0][0] == 0
 
 
 def _week_numbers(spec: str) -> list[int]:
@@ -181,7 +244,7 @@ def cell_records(text: str | None) -> list[tuple[str, list[int], str]]:
         return [(text, [], "")]
     out: list[tuple[str, list[int], str]] = []
     ahead = text[: specs[0].start()].strip(_EDGE)
-    before, subject = _after_place(ahead) if _PLACE.match(ahead) else ("", ahead)
+    before, subject = _after_place(ahead) if _begins_with_place(ahead) else ("", ahead)
     if not subject:
         subject, before = ahead, ""
     for k, spec in enumerate(specs):
@@ -209,7 +272,7 @@ def split_cells(rows: DataFrame, text: str) -> DataFrame:
 
 
 def layout(signals: DataFrame) -> DataFrame:
-    """The layout of documents from counts (``weeks``, ``groups``, ``days``, ``clocks``) and the share of lines ``vector``:
+    """The layout of documents (fixed weights and bounds) from counts (``weeks``, ``groups``, ``days``, ``clocks``) and the share of lines ``vector``:
     ``grid_score``, ``layout`` and ``confidence``."""
     part = lambda c, most: F.least(F.lit(1.0), F.col(c) / most)
     week, group, day = part("weeks", 15), part("groups", 8), part("days", 5)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.clock import clock_identity
+from chronoweave.operators.components import shared_folder
+from chronoweave.operators.sizes import sent_if_small
 
 def content_hash(df: DataFrame, columns: Sequence[str], clocks: Sequence[str] = ()) -> F.Column:
     """A 64-bit hash of the row's content. Nulls count (a null equals only a null); clocks count as times of day."""
@@ -22,11 +24,12 @@ def deliveries(df: DataFrame, snapshot: str) -> DataFrame:
     """One row per delivered snapshot: ``__snap``, the one before it ``__prev`` and after it ``__next`` (null at the ends).
 
     Only the snapshot column is read, and reduced before the shuffle. The list itself is in one task: it has one row per
-    delivery, whatever the size of the deliveries. Nothing is hinted: Spark sends it to every task as measured.
+    delivery, whatever the size of the deliveries. It is written once.
     """
+    shared_folder(df.sparkSession)
     distinct = df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).cast("long").alias("__snap")).distinct()
     order = Window.orderBy("__snap")
-    return distinct.select("__snap", F.lag("__snap").over(order).alias("__prev"), F.lead("__snap").over(order).alias("__next"))
+    return distinct.select("__snap", F.lag("__snap").over(order).alias("__prev"), F.lead("__snap").over(order).alias("__next")).checkpoint()
 
 
 def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[str], clocks: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +41,7 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[s
     Columns out: ``snapshot`` (of the later delivery), ``key``, ``change_kind`` (added, removed, changed).
     Numbers left out in the deliveries are no deliveries. The first delivery has no cases. Repeated rows of a key in a
     snapshot count once, whenever they arrived; if their contents differ, all of them are compared: the number of different
-    contents, the smallest and the largest hash, and the exclusive or of all hashes. Rows with a null key are no records, though their snapshot counts as delivered; rows with a null snapshot
+    contents and the exclusive or of their hashes. Rows with a null key are no records, though their snapshot counts as delivered; rows with a null snapshot
     are left out. An empty table gives no rows.
     """
     kind = df.schema[snapshot].dataType
@@ -46,8 +49,8 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, content: Sequence[s
         df.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
         .select(F.col(key).alias("__key"), F.col(snapshot).cast("long").alias("__snap"), content_hash(df, content, clocks).alias("__hash"))
         .groupBy("__key", "__snap")
-        .agg(F.struct(F.count_distinct("__hash"), F.expr("bit_xor(DISTINCT __hash)"), F.min("__hash"), F.max("__hash")).alias("__content"))
-        .join(deliveries(df, snapshot), "__snap")
+        .agg(F.struct(F.count_distinct("__hash"), F.expr("bit_xor(DISTINCT __hash)")).alias("__content"))
+        .join(sent_if_small(deliveries(df, snapshot)), "__snap")
     )
     by = Window.partitionBy("__key").orderBy("__snap")
     before, after = F.lag("__snap").over(by), F.lead("__snap").over(by)

@@ -18,13 +18,19 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def publish(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Write beside the target and swap by renaming, so that readers see the old or the new delivery, never half of one."""
+    """Write beside the target and swap by renaming, so that readers never see half of a delivery: they see the old one, the
+    new one, or, between the two renames, none. If the second rename fails, the old delivery is put back."""
     fs, at = _files(df.sparkSession, path)
     staged, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     df.write.format(kind).save(staged)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        fs.delete(at(staged), True)
+        raise OSError(f"{path} could not be replaced")
     if not fs.rename(at(staged), at(path)):
+        if there:
+            fs.rename(at(old), at(path))
+        fs.delete(at(staged), True)
         raise OSError(f"{path} could not be published")
     fs.delete(at(old), True)
 

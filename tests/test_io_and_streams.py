@@ -33,6 +33,35 @@ def test_sniff():
     assert formats.sniff(b"PK\x03\x04broken") == "binary"
 
 
+def test_texts_of_any_encoding_and_length():
+    text = "Расписание занятий; группа; ауд. 5\n" * 300
+    for pad in ("", "x"):
+        assert formats.sniff((pad + text).encode()) == "csv"
+        assert formats.sniff(('["' + pad + "ы" * 5000 + '"]').encode()) == "json"
+        assert formats.sniff((pad + "ы" * 5000).encode()) == "txt"
+    for encoding in ("utf-8", "utf-8-sig", "utf-16", "cp1251", "koi8-r", "cp866"):
+        assert formats.decoded(text.encode(encoding)) == text
+    assert formats.sniff(b" " * 20_000 + b"<table>") == "html"
+    assert formats.decoded(bytes(range(256))) is None
+    assert formats.candidates(b"a;b;c", "x.html")[:2] == ["csv", "html"]
+
+
+def test_all_tries(spark):
+    rows = formats.attempts(spark.createDataFrame([("a.csv", bytearray(b"<table><tr><td>1<tr><td>2</table>")), ("b.xlsx", bytearray(b"PK"))], "path string, content binary")).collect()
+    assert [(r.parser, len(r.cells)) for r in rows if r.doc == "a.csv"][:2] == [("html", 2), ("csv", 1)]
+    assert {r.warnings for r in rows if r.parser == "docx"} == {1}
+
+
+def test_sheets_rows_and_paragraphs(spark):
+    two = _zip(xl__worksheets__sheet1_xml=SHEET.replace(' t="s"', ""), xl__worksheets__sheet2_xml='<worksheet><c r="A1"><v>7</v></c></worksheet>')
+    rows = formats.file_grids(spark.createDataFrame([("a.xlsx", bytearray(two))], "path string, content binary"), every_sheet=True).collect()
+    assert {r.doc for r in rows} == {"a.xlsx#1", "a.xlsx#2"}
+    ods = _zip(mimetype="x", content_xml='<o xmlns:t="t"><t:table><t:table-row t:number-rows-repeated="2"><t:c><t:p>a</t:p></t:c></t:table-row><t:table-row t:number-rows-repeated="9"/><t:table-row><t:c><t:p>b</t:p></t:c></t:table-row></t:table></o>')
+    assert formats._ods(ods) == [(0, 0, "a"), (1, 0, "a"), (11, 0, "b")]
+    doc = _zip(word__document_xml='<d xmlns:w="w"><w:p><w:t>head</w:t></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:t>1</w:t></w:p></w:tc><w:tc><w:p><w:t>2</w:t></w:p></w:tc></w:tr></w:tbl><w:p><w:t>tail</w:t></w:p></d>')
+    assert formats._READERS["docx"](doc) == [(0, 0, "head"), (1, 0, "1"), (1, 1, "2"), (2, 0, "tail")]
+
+
 def test_grids(spark):
     files = [("a.xlsx", bytearray(XLSX)), ("b.ods", bytearray(ODS)), ("c.docx", bytearray(DOCX)), ("d.csv", bytearray("﻿q;w\n;e".encode())), ("e.pdf", bytearray(b"%PDF-1")), ("f.html", bytearray(b"<table><tr><td>1"))]
     rows = formats.file_grids(spark.createDataFrame(files, "path string, content binary")).collect()

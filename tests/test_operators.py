@@ -229,6 +229,29 @@ def test_html_grid(spark):
     assert cells == {(0, 0): "День", (1, 0): "День", (0, 1): "Группы", (0, 2): "Группы", (1, 1): "401", (1, 2): "402", (2, 0): "Пн", (2, 1): "A & B x", (2, 2): "C"}
 
 
+def test_the_largest_table_and_tables_in_cells():
+    assert grid.html_cells("<table><tr><td>a</table><table><tr><td>b<tr><td>c</table>") == [(0, 0, "b"), (1, 0, "c")]
+    assert grid.html_cells("<table><tr><td>x<table><tr><td>in</table>y</td><td>z</tr><tr><td rowspan=9>w</table>") == [(0, 0, "xy"), (0, 1, "z"), (1, 0, "w")]
+    assert grid.html_cells("<tr><td>1<tr><td>2") == [(0, 0, "1"), (1, 0, "2")]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("КПК, ауд. 101 Гистология", ("КПК, ауд. 101", "Гистология")),
+        ("ЦДТИ Право", ("ЦДТИ", "Право")),
+        ("ауд.4 Химия", ("ауд.4", "Химия")),
+        ("каб 12 / зал «Малый» Этика", ("каб 12 / зал «Малый»", "Этика")),
+        ("База практической подготовки", ("База практической подготовки", "")),
+        ("НИИ, Ромашка Химия", ("НИИ, Ромашка", "Химия")),
+        ("Базальные ядра", ("", "Базальные ядра")),
+        ("Аудит и право", ("", "Аудит и право")),
+    ],
+)
+def test_places(text, wanted):
+    assert grid._after_place(text) == wanted
+
+
 @pytest.mark.parametrize(
     ("cell", "wanted"),
     [
