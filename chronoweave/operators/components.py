@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.operators.sizes import sent_if_small
+
 
 def shared_folder(spark: SparkSession) -> None:
     """Make sure there is a folder for checkpoints: the session's ``spark.checkpoint.dir``. Only where all runs in one process
@@ -36,14 +38,18 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
 
     Each round links all larger neighbours of a node to its smallest one, then the rest likewise; the number of rounds grows
     with the logarithm of the longest path, and ends as soon as the links are stars (every node has one link, to a node that
-    has none): a graph of cliques takes one. The lineage is cut every round by checkpoint(), which the loss of an executor
+    has none). Before, it is tried whether the smallest neighbour of each node tells the component already, as in a graph of
+    cliques: it does if both ends of every link have the same one. The lineage is cut every round by checkpoint(), which the loss of an executor
     doesn't touch, and the round before is deleted. Edges with a null end and edges from a node to itself are left out. If
     after ``rounds`` the links are no stars, components would be unfinished: that is an error.
     """
     shared_folder(edges.sparkSession)
     links = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
     links, n = _kept(links)
-    if n:
+    if n and (stars := _if_all_agree(links)) is not None:
+        drop_checkpoint(links)
+        links = stars
+    elif n:
         for _ in range(rounds):
             done, (links, _) = links, _kept(_round(links))
             drop_checkpoint(done)
@@ -55,6 +61,18 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _if_all_agree(links: DataFrame) -> DataFrame | None:
+    """Links of all nodes to their smallest neighbours, if both ends of every link have the same one; else None."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
+    sent = sent_if_small(lowest)
+    ends = links.join(sent.withColumnRenamed("m", "ma"), "a").join(sent.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
+    if ends.where("ma <> mb").limit(1).isEmpty():
+        return lowest.where("a <> m").select("a", F.col("m").alias("b"))
+    drop_checkpoint(lowest)
+    return None
+
+
 def _round(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
