@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.operators.components import connected_components, shared_folder
+from chronoweave.operators.sizes import sent_if_small
 
 #: Edits allowed between two spellings of one surname; names are cut into one segment more.
 EDITS = 3
+#: Mistyped given names and patronymics are told from surnames if they have so many letters.
+MISTYPED = (4, 16)
+#: A part with a point after it is an abbreviation up to so many letters.
+ABBREVIATED = 5
 
 # Titles before a name.
 TITLES = r"(?:профессор|проф|доцент|доц|ассистент|асс|старший|ст|преподаватель|преп|академик|акад|зав|каф|канд|докт|мед|наук|[кд]\s?[.]?\s?м\s?[.]?\s?н)"
@@ -75,7 +80,7 @@ def _kind(word: str) -> tuple[str, str]:
         return "given", _FULL[word][0]
     if _PATRONYMIC.search(word):
         return "patronymic", word[0]
-    if 4 <= len(word) <= 16:
+    if MISTYPED[0] <= len(word) <= MISTYPED[1]:
         near = {n for part in _deletes(word, _slack(word)) for n in _INDEX.get(part, ())}
         near = {n for n in near if _near(word, n, _slack(n))}
         if near:
@@ -109,7 +114,7 @@ def parse_name(text: str | None) -> tuple[str, str, str] | None:
             kinds.append(("initial", word))
         elif comma and k == 0:
             kinds.append(("surname", ""))
-        elif dot and len(word) <= 5:
+        elif dot and len(word) <= ABBREVIATED:
             kinds.append(("short", _SHORT[word][0] if word in _SHORT else word[0]))
         else:
             kinds.append(_kind(word))
@@ -140,82 +145,102 @@ def _parsed(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(t) or (None, None, None) for t in texts], columns=["surname", "given", "patronymic"])
 
 
-def _allowed(a: F.Column, b: F.Column) -> F.Column:
-    """Edits allowed between two surnames: ``EDITS``, but no more than a third of the shorter one."""
-    return F.least(F.lit(EDITS), F.floor(F.least(F.length(a), F.length(b)) / 3)).cast("int")
+def _allowed(size: F.Column) -> F.Column:
+    """Edits allowed between two surnames, the shorter of which has so many letters: EDITS, but no more than a third of it."""
+    return F.least(F.lit(EDITS), F.floor(size / 3)).cast("int")
 
 
-def _segments(name: F.Column) -> F.Column:
-    """A name cut into EDITS + 1 segments of about equal length: (number, where it begins, text)."""
-    size = F.length(name)
-    parts = EDITS + 1
-    out = []
-    for k in range(parts):
-        start = F.floor(size * k / parts).cast("int")
-        stop = F.floor(size * (k + 1) / parts).cast("int")
-        out.append(F.struct(F.lit(k).alias("k"), size.alias("size"), F.substring(name, start + 1, stop - start).alias("text")))
-    return F.array(*out)
+@lru_cache
+def _cuts(size: int) -> tuple[tuple[int, int], ...]:
+    """Where the segments of a name of so many letters begin and end: one more than edits are allowed, of about equal length."""
+    parts = min(EDITS, size // 3) + 1
+    return tuple((size * k // parts, size * (k + 1) // parts) for k in range(parts))
 
 
-def _probes(name: F.Column, longer: bool) -> F.Column:
-    """All substrings of a name that can equal a segment of a name at most EDITS letters shorter (or longer, if asked).
+@lru_cache
+def _looks(size: int) -> tuple[tuple[bytes, int, int], ...]:
+    """Which substrings of a name of so many letters can equal a segment of an equally long or shorter name within the allowed
+    edits: (length of that name and number of its segment, where the substring begins, where it ends).
 
     A segment's place can be moved by no more than the segments left of it, and, counted from the end, by no more than
     those right of it: else another segment would have stayed whole, too.
     """
-    size = F.length(name)
-    parts = EDITS + 1
-
-    def taken(k: int, long: F.Column, other: F.Column) -> Callable[[F.Column], F.Column]:
-        return lambda at: F.struct(F.lit(k).alias("k"), other.alias("size"), F.substring(name, at + 1, long).alias("text"))
-
-    def of(d: F.Column) -> F.Column:
-        other = size + d
-        segments = []
-        for k in range(parts):
-            start = F.floor(other * k / parts).cast("int")
-            stop = F.floor(other * (k + 1) / parts).cast("int")
-            low = F.greatest(F.lit(0), start - k, start - d - (EDITS - k))
-            high = F.least(size - (stop - start), start + k, start - d + (EDITS - k))
-            shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            segments.append(F.transform(shifts, taken(k, stop - start, other)))
-        return F.flatten(F.array(*segments))
-
-    lengths = F.filter(F.sequence(F.lit(-EDITS), F.lit(EDITS if longer else 0)), lambda d: size + d >= 1)
-    return F.array_distinct(F.flatten(F.transform(lengths, of)))
-
-
-def near_names(asked: DataFrame, held: DataFrame, block: list[str]) -> DataFrame:
-    """Pairs (``node``, ``other``, ``distance``) of different nodes of one block whose surnames differ by few edits.
-
-    Pigeonhole: of EDITS + 1 segments of a name, at least one stays whole after EDITS edits. Segments of ``held`` are an
-    inverted index; the shifted substrings of ``asked`` are looked up in it, and candidates are verified by a banded edit
-    distance. Both have the columns ``node``, ``surname`` and those of the block. Of a table with itself only names not longer
-    than the asked one are looked up, so that every pair comes up once at least, and in one direction unless equally long.
-    """
-    index = held.select(*block, F.col("node").alias("other"), F.col("surname").alias("other_surname"), F.explode(_segments(F.col("surname"))).alias("s")).select("*", "s.*").drop("s")
-    probe = asked.select(*block, "node", "surname", F.explode(_probes(F.col("surname"), asked is not held)).alias("s")).select("*", "s.*").drop("s")
-    candidates = probe.join(index, [*block, "k", "size", "text"]).where("node <> other").select("node", "surname", "other", "other_surname").distinct()
-    distance = F.levenshtein("surname", "other_surname", EDITS)
-    return candidates.withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") <= _allowed(F.col("surname"), F.col("other_surname")))).select("node", "other", "distance")
+    out = []
+    for less in range(EDITS + 1):
+        other = size - less
+        edits = min(EDITS, other // 3)
+        if edits < max(1, less):
+            continue
+        for k, (start, stop) in enumerate(_cuts(other)):
+            long = stop - start
+            low, high = max(0, start - k, start + less - (edits - k)), min(size - long, start + k, start + less + (edits - k))
+            out += [(b"%d,%d," % (other, k), at, at + long) for at in range(low, high + 1)]
+    return tuple(out)
 
 
-def _best(found: DataFrame, person: DataFrame) -> DataFrame:
-    """Of each node's near persons the nearest one; none if two are equally near."""
-    near = found.join(person.select(F.col("node").alias("other"), "person"), "other").groupBy("node", "person").agg(F.min("distance").alias("distance"))
-    least = near.groupBy("node").agg(F.min_by("person", "distance").alias("person"), F.min("distance").alias("distance"))
-    ties = near.join(least.select("node", F.col("distance").alias("least")), "node").where("distance = least").groupBy("node").agg(F.count("*").alias("n"))
-    return least.join(ties.where("n = 1"), "node", "left_semi").select("node", "person")
+def _hashes(owner: str, name: str) -> tuple[list[int], list[int]]:
+    """The segments of a name and its shifted substrings, as 64-bit hashes of owner, length, number and text."""
+    head, text, size = f"{owner}\u0001".encode(), name.encode("utf-32-le"), len(name)
+    digest = lambda what, a, z: xxhash.xxh3_64_intdigest(head + what + text[4 * a : 4 * z]) - 2**63
+    segments = [digest(b"%d,%d," % (size, k), a, z) for k, (a, z) in enumerate(_cuts(size))] if size >= 3 else []
+    return segments, [digest(*look) for look in _looks(size)]
 
 
-def _group(nodes: DataFrame, block: list[str]) -> DataFrame:
-    """Persons made of near nodes of one block: ``node``, ``person`` (its smallest node)."""
-    linked = connected_components(near_names(nodes, nodes, block), "node", "other")
-    return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("person"))
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("segments", "probes")]))
+def _hashed(owners: pd.Series, names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_hashes(o, n) for o, n in zip(owners, names, strict=True)], columns=["segments", "probes"])
 
 
-def people(df: DataFrame, row_id: str, owner: str, name: str) -> DataFrame:
-    """The rows that name a person, with the person: ``row_id``, ``owner``, ``name``, ``person``.
+def near_names(names: DataFrame) -> DataFrame:
+    """Pairs of different surnames of one owner that differ by few edits, in both directions: ``owner``, ``surname``,
+    ``other``, ``distance``. ``names`` has each (``owner``, ``surname``) once, both texts.
+
+    Pigeonhole: of one segment more than edits are allowed, at least one stays whole. Segments of the shorter name are an
+    inverted index; the shifted substrings of the longer one are looked up in it, once per owner and surname, and candidates
+    are verified by a banded edit distance. Keys are 64-bit hashes: one that collides only brings a candidate more.
+    """
+    shared_folder(names.sparkSession)
+    hashed = names.select("owner", "surname", _hashed("owner", "surname").alias("h")).checkpoint()
+    index = hashed.select(F.col("owner").alias("__owner"), F.col("surname").alias("other"), F.explode("h.segments").alias("__h"))
+    probe = hashed.select("owner", "surname", F.explode(F.array_distinct("h.probes")).alias("__h"))
+    once = (F.length("surname") > F.length("other")) | ((F.length("surname") == F.length("other")) & (F.col("surname") > F.col("other")))
+    met = probe.join(index, "__h").where((F.col("owner") == F.col("__owner")) & once)
+    near = met.select("owner", "surname", "other", F.levenshtein("surname", "other", EDITS).alias("distance"))
+    near = near.where((F.col("distance") >= 0) & (F.col("distance") <= _allowed(F.length("other")))).distinct()
+    return near.unionByName(near.select("owner", F.col("other").alias("surname"), F.col("surname").alias("other"), "distance"))
+
+
+#: How much of a name is given: the surname alone, one initial, or both.
+BARE, HALF, FULL = 0, 1, 2
+
+
+def _links(nodes: DataFrame) -> DataFrame:
+    """Which spellings of one owner can mean the same person: ``a`` with no more of a name than ``b``, surnames near or equal,
+    and the initials that ``a`` has equal. ``a``, ``b``, their kinds, ``distance``."""
+    # As many tasks as a shuffle has: a name is short, but costs dozens of substrings.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = nodes.repartition(parts, "owner", "surname").select("owner", "surname").distinct()
+    near = near_names(names).unionByName(names.select("owner", "surname", F.col("surname").alias("other"), F.lit(0).alias("distance")))
+    held = sent_if_small(nodes)
+    a = held.select("owner", "surname", F.col("id").alias("a"), F.col("kind").alias("a_kind"), F.col("given").alias("g"), F.col("patronymic").alias("p"))
+    b = held.select("owner", F.col("surname").alias("other"), F.col("id").alias("b"), F.col("kind").alias("b_kind"), "given", "patronymic")
+    if held is not nodes:
+        a, b = F.broadcast(a), F.broadcast(b)
+    met = near.join(a, ["owner", "surname"]).join(b, ["owner", "other"])
+    fits = (F.col("a_kind") < F.col("b_kind")) | ((F.col("a_kind") == F.col("b_kind")) & (F.col("a") < F.col("b")))
+    fits = fits & ((F.col("a_kind") == BARE) | (F.col("g") == F.col("given"))) & ((F.col("a_kind") < FULL) | (F.col("p") == F.col("patronymic")))
+    return met.where(fits).select("a", "a_kind", "b", "b_kind", "distance")
+
+
+def _grouped(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """Persons made of linked spellings: ``id``, ``person`` (one of the ids)."""
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("person"))
+
+
+def person_rows(df: DataFrame, row_id: str, owner: str, name: str) -> DataFrame:
+    """The rows that name a person, with a number for the person: ``row_id``, ``owner``, ``name``, ``person``, ``spelled``
+    (owner, surname and initials as one text).
 
     Names are parsed into surname and initials (titles, letter case, order of parts, short forms and ё are no difference).
     Distinct ones of an owner are linked in three steps, so that a spelling with less in it never joins two people:
@@ -223,28 +248,38 @@ def people(df: DataFrame, row_id: str, owner: str, name: str) -> DataFrame:
     the one nearest person of that initial; then bare surnames, to the one nearest person. Those left over form persons
     among themselves. Two equally near persons leave a spelling unlinked.
 
+    All three steps work on one table of links, made by one segment join of the distinct surnames of each owner.
+
     A null owner owns nobody; null, empty and stand-in names name nobody; those rows are left out, and so are rows with a
     null id. An empty table gives no rows.
     """
-    texts = df.where(F.col(name).isNotNull() & F.col(owner).isNotNull()).select(F.col(name).alias("name")).distinct()
-    parsed = texts.select("name", _parsed("name").alias("p")).select("name", "p.*").where("surname IS NOT NULL")
-    rows = df.where(F.col(row_id).isNotNull() & F.col(owner).isNotNull()).select(F.col(row_id).alias("row"), F.col(owner).alias("owner"), F.col(name).alias("name")).join(parsed, "name")
-    rows = rows.withColumn("node", F.concat_ws("\u0001", F.col("owner").cast("string"), "surname", "given", "patronymic"))
-    nodes = rows.select("node", "owner", "surname", "given", "patronymic").distinct()
     shared_folder(df.sparkSession)
-    nodes = nodes.checkpoint()
-    full, half, bare = nodes.where("patronymic <> ''"), nodes.where("given <> '' AND patronymic = ''"), nodes.where("given = '' AND patronymic = ''")
-    known = full
-    person = _group(full, ["owner", "given", "patronymic"]).checkpoint()
-    for some, block in ((half, ["owner", "given"]), (bare, ["owner"])):
-        placed = _best(near_names(some, known, block).unionByName(_equal(some, known, block)).checkpoint(), person).checkpoint()
-        rest = some.join(placed, "node", "left_anti")
-        person = person.unionByName(placed).unionByName(_group(rest, block)).checkpoint()
-        known = known.unionByName(some)
-    return rows.join(person, "node").select(F.col("row").alias(row_id), F.col("owner").alias(owner), F.col("name").alias(name), "person")
-
-
-def _equal(asked: DataFrame, held: DataFrame, block: list[str]) -> DataFrame:
-    """Pairs with equal surnames, which need no segments (and may be shorter than the number of segments)."""
-    other = held.select(*block, "surname", F.col("node").alias("other"))
-    return asked.join(other, [*block, "surname"]).where("node <> other").select("node", "other", F.lit(0).alias("distance"))
+    texts = df.where(F.col(name).isNotNull() & F.col(owner).isNotNull()).select(F.col(owner).alias("o"), F.col(name).alias("n")).distinct()
+    # Filtered after it was written, else names would be parsed twice.
+    parsed = texts.select("o", "n", _parsed("n").alias("p")).checkpoint().select("o", "n", F.col("o").cast("string").alias("owner"), "p.*").where("surname IS NOT NULL")
+    key = ["owner", "surname", "given", "patronymic"]
+    kind = F.when(F.col("patronymic") != "", FULL).when(F.col("given") != "", HALF).otherwise(BARE)
+    # Numbers are given once: what is read from the checkpoint has them already.
+    nodes = parsed.select(*key).distinct().select(*key, kind.alias("kind"), F.monotonically_increasing_id().alias("id")).checkpoint()
+    links = _links(nodes).checkpoint()
+    between = lambda a, b: links.where((F.col("a_kind") == a) & F.col("b_kind").isin(b))
+    of = lambda k: nodes.where(F.col("kind") == k).select("id")
+    person = _grouped(of(FULL), between(FULL, [FULL]))
+    for step, known in ((HALF, [FULL]), (BARE, [HALF, FULL])):
+        met = between(step, known).join(person.withColumnRenamed("id", "b"), "b")
+        least = met.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "person")).alias("first"), F.max(F.struct(-F.col("distance"), "person")).alias("last"))
+        placed = least.where("first.person = last.person").select("id", "first.person").checkpoint()
+        rest = of(step).join(placed, "id", "left_anti")
+        own = between(step, [step]).join(placed.withColumnRenamed("id", "a"), "a", "left_anti").join(placed.withColumnRenamed("id", "b"), "b", "left_anti")
+        person = person.unionByName(placed).unionByName(_grouped(rest, own))
+    spelled = parsed.join(nodes.select(*key, "id"), key).join(person, "id").select("o", "n", "person", F.concat_ws("\u0001", *key).alias("spelled")).checkpoint()
+    rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("r"), F.col(owner).alias("o"), F.col(name).alias("n"))
+    return rows.join(sent_if_small(spelled), ["o", "n"]).select(F.col("r").alias(row_id), F.col("o").alias(owner), F.col("n").alias(name), "person", "spelled")
+
+
+def people(df: DataFrame, row_id: str, owner: str, name: str) -> DataFrame:
+    """The same with a name for the person that doesn't depend on the run: the first of the person's spellings.
+    ``row_id``, ``owner``, ``name``, ``person``."""
+    rows = person_rows(df, row_id, owner, name)
+    called = rows.groupBy("person").agg(F.min("spelled").alias("called"))
+    return rows.join(called, "person").select(row_id, owner, name, F.col("called").alias("person"))

@@ -10,7 +10,7 @@ from chronoweave.llm.duplicates import copies, distinct_records
 from chronoweave.llm.lookalikes import canonical_values, odd_rows
 from chronoweave.llm.mixing import mix
 from chronoweave.llm.mojibake import garbled, restored
-from chronoweave.llm.names import people
+from chronoweave.llm.names import people, person_rows
 from chronoweave.sources.tables import table
 
 EXACT = ["program_code", "course", "group_code", "stream_code", "week_number", "weekday", "start_time", "end_time", "lesson_type", "half"]
@@ -48,7 +48,7 @@ def p6_people(spark: SparkSession, directory: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of rules of a chair that mean the same person."""
-    rows = people(table(spark, directory, "manual_rule"), "rule_id", "chair_code", "teacher")
+    rows = person_rows(table(spark, directory, "manual_rule"), "rule_id", "chair_code", "teacher")
     one = rows.select("person", F.col("rule_id").alias("rule_id_a"))
     other = rows.select("person", F.col("rule_id").alias("rule_id_b"))
     return one.join(other, "person").where("rule_id_a < rule_id_b").select("rule_id_a", "rule_id_b")
