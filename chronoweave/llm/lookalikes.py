@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.components import shared_folder
+from chronoweave.operators.sizes import sent_if_small
+
 # Letters of other scripts and the Cyrillic (or else Latin) letter they look like or stand in for.
 LATIN = "ABCEHKMOPTXYaceopxy"
 LATIN_AS = "АВСЕНКМОРТХУасеорху"
@@ -49,30 +52,33 @@ def _composed(text: Column) -> Column:
     return text
 
 
+def _boxes(fields: Sequence[str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
+
+
 def canonical_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Each distinct value that is not in its canonical form, with that form: ``field``, ``value``, ``canonical``.
+    """Each distinct value that is not in its canonical form, with that form: ``field``, ``value``, ``canonical`` (a checkpoint).
 
-    Values are reduced to distinct ones with counts, cut into letter runs and single signs, and each piece is mapped to a
-    skeleton in which look-alike letters are one. Skeletons of a field that are equal under an accent-sensitive,
-    case-insensitive Unicode collation (full width, styled letters, joined or apart accents and invisible characters are no
-    difference there; е and ё, и and й are) form a class. Of the members of one script without odd characters, the one most
-    rows write is canonical, the Cyrillic one on a tie; it is joined back to every piece, keeping its letter case.
+    Values are reduced to distinct ones with counts and written once. They are cut into letter runs and single signs, and each
+    piece is mapped to a skeleton in which look-alike letters are one. Skeletons of a field that are equal under an
+    accent-sensitive, case-insensitive Unicode collation (full width, styled letters, joined or apart accents and invisible
+    characters are no difference there; е and ё, и and й are) form a class. Of the members of one script without odd
+    characters, the one most rows write is canonical, the Cyrillic one on a tie; it is joined back to the pieces that aren't
+    written like it, keeping their letter case. Only values that hold such a piece are put together again: pieces that stay as
+    they are, such as the blank in nearly every value, are never shuffled with their values.
 
     A class without such a member becomes its skeleton with accents joined: Cyrillic if all its letters can be, else Latin.
     A character that is neither plain nor like a plain one stays and makes the value a case. Null is no value. Empty values
     are plain.
     """
-    boxes = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    values = df.select(boxes.alias("b")).select("b.field", "b.value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
-    # Pieces carry a digest of their value, not the value, which may be very long.
-    values = values.withColumn("of", F.md5("value"))
-    pieces = values.select("field", "of", "n", F.posexplode(F.regexp_extract_all("value", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
+    shared_folder(df.sparkSession)
+    values = df.select(_boxes(fields).alias("b")).select("b.field", "b.value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n")).checkpoint()
+    cut = F.regexp_extract_all("value", F.lit(PIECE), F.lit(0))
 
-    members = pieces.groupBy("field", "piece").agg(F.sum("n").alias("n")).withColumn("skeleton", skeleton(F.col("piece")))
-    # Spark compares collated texts by their collation: the window's partitions are the classes.
-    members = members.withColumn("class", F.collate("skeleton", "UNICODE_CI"))
+    members = values.select("field", "n", F.explode(cut).alias("piece")).groupBy("field", "piece").agg(F.sum("n").alias("n")).withColumn("skeleton", skeleton(F.col("piece")))
+    # Spark compares collated texts by their collation: groups and joins by this column are by class.
     low = F.when(F.col("piece").rlike(PLAIN), F.lower("piece"))
-    spelled = members.withColumn("low", low)
+    spelled = members.withColumn("class", F.collate("skeleton", "UNICODE_CI")).withColumn("low", low).checkpoint()
     votes = spelled.where("low IS NOT NULL").groupBy("field", "class", "low").agg(F.sum("n").alias("votes"))
     best = votes.groupBy("field", "class").agg(
         F.max_by("low", F.struct("votes", F.col("low").rlike("[а-яё]").cast("int").alias("cyrillic"), "low")).alias("winner")
@@ -88,21 +94,20 @@ def canonical_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
         .otherwise(F.col("winner"))
     )
     canon = joined.select(F.col("s.field").alias("field"), "piece", F.coalesce(styled, made).alias("good"))
-    canon = canon.where(~F.col("piece").rlike(PLAIN) | (F.col("piece") != F.col("good")))  # the rest stays as it is
+    canon = sent_if_small(canon.where(~F.col("piece").rlike(PLAIN) | (F.col("piece") != F.col("good"))).checkpoint())  # the rest stays as it is
 
-    fixed = pieces.join(canon, ["field", "piece"], "left")
-    whole = fixed.groupBy("field", "of").agg(
-        F.max(F.col("good").isNotNull()).alias("odd"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("good", "piece").alias("text")))), lambda x: x["text"]), "").alias("canonical"),
-    )
-    return whole.where("odd").join(values, ["field", "of"]).select("field", "value", "canonical")
+    # Pieces carry a digest of their value, not the value, which may be very long.
+    hit = values.select("field", F.md5("value").alias("of"), F.explode(F.array_distinct(cut)).alias("piece")).join(canon, ["field", "piece"])
+    better = hit.groupBy("field", "of").agg(F.map_from_entries(F.collect_list(F.struct("piece", "good"))).alias("better"))
+    whole = values.withColumn("of", F.md5("value")).join(better, ["field", "of"])
+    canonical = F.array_join(F.transform(cut, lambda p: F.coalesce(F.col("better")[p], p)), "")
+    return whole.select("field", "value", canonical.alias("canonical")).checkpoint()
 
 
 def odd_rows(df: DataFrame, row_id: str, fields: Sequence[str]) -> DataFrame:
     """The rows and fields whose value is not plain: ``row_id``, ``field_name``, ``value``, ``canonical``."""
-    boxes = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    rows = df.select(F.col(row_id).alias("__id"), boxes.alias("b")).select("__id", "b.field", "b.value")
-    return rows.join(canonical_values(df, fields), ["field", "value"]).select(F.col("__id").alias(row_id), F.col("field").alias("field_name"), "value", "canonical")
+    rows = df.select(F.col(row_id).alias("__id"), _boxes(fields).alias("b")).select("__id", "b.field", "b.value")
+    return rows.join(sent_if_small(canonical_values(df, fields)), ["field", "value"]).select(F.col("__id").alias(row_id), F.col("field").alias("field_name"), "value", "canonical")
 
 
 def one_form(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -111,5 +116,5 @@ def one_form(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     out = df
     for f in fields:
         mine = odd.where(F.col("field") == f).select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
-        out = out.join(mine, F.col(f) == F.col("__value"), "left").withColumn(f, F.coalesce("__canonical", f)).drop("__value", "__canonical")
+        out = out.join(sent_if_small(mine), F.col(f) == F.col("__value"), "left").withColumn(f, F.coalesce("__canonical", f)).drop("__value", "__canonical")
     return out
