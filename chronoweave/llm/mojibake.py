@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.operators.components import shared_folder
+from chronoweave.operators.sizes import sent_if_small
 
 # Encodings in which text may have been stored, and those in which it may have been read.
 STORED_CYRILLIC = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5")
@@ -139,13 +140,14 @@ def known_forms(tokens: DataFrame) -> DataFrame:
 def garbled(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The garbled documents (``doc``, ``chain``) and their garbled words (``doc``, ``form``, ``origin``, ``chain``).
 
-    A document is garbled if it holds a strong form, or two different weak forms of one chain. Null ids and null or empty
+    A document is garbled if it holds a strong form, or two different weak forms of one chain. The forms that the corpus holds
+    are measured: if they are small they are sent to every task, and words are looked up where they are cut. Null ids and null or empty
     texts have no words. An empty table gives no rows. Whole texts are read; every word counts.
     """
     shared_folder(df.sparkSession)
     tokens = words(df, doc_id, text)
     forms = known_forms(tokens).checkpoint()
-    hits = tokens.where("doc IS NOT NULL").join(forms.withColumnRenamed("form", "word"), "word").select("doc", F.col("word").alias("form"), "origin", "chain", "strong").checkpoint()
+    hits = tokens.where("doc IS NOT NULL").join(sent_if_small(forms.withColumnRenamed("form", "word")), "word").select("doc", F.col("word").alias("form"), "origin", "chain", "strong").checkpoint()
     chains = hits.groupBy("doc", "chain").agg(F.count_distinct("form").alias("n"), F.max("strong").alias("strong"))
     docs = chains.where("strong OR n >= 2").groupBy("doc").agg(F.max_by("chain", F.struct("n", "chain")).alias("chain"))
     return docs, hits
