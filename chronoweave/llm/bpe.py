@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import heapq
 import json
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Where the vocabulary files of public tokenizers lie.
 FOLDER = "/opt/tokenizers"
-# Fixed value: how byte_bpe_50k cuts texts before merging.
+# Fixed value: how byte-level vocabularies cut texts before merging, unless they name a pattern of their own.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of up to so many bytes are merged in matrices, longer ones with a heap, which does the same merges in n log n.
 WIDEST = 128
@@ -33,28 +35,84 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """A vocabulary with its merges in a hash table of pairs."""
+    """A public vocabulary with its merges in a hash table of pairs.
+
+    ``name`` is a file in ``folder``, with or without its ending: ``.json`` files with byte-level BPE (with a normalizer, a
+    pattern of their own and marked word ends, or without), and ``.tiktoken`` files of ranks, which are cut by PATTERN. What a
+    file asks for and isn't known here is refused with a ValueError: no text is ever encoded by other rules than the file's.
+    """
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str = FOLDER) -> None:
-        model = json.loads(Path(folder, f"{name}.json").read_text(encoding="utf-8"))["model"]
-        vocab = model["vocab"]
-        self.first = np.zeros(256, dtype=np.int32)
+        files = [Path(folder, name), Path(folder, f"{name}.json"), Path(folder, f"{name}.tiktoken")]
+        path = next((p for p in files if p.is_file() and p.suffix in (".json", ".tiktoken")), None)
+        if path is None:
+            raise ValueError(f"{name}: no vocabulary of byte-level merges (.json, .tiktoken) in {folder}")
+        self.pattern, self.steps, self.whole = PATTERN, [], {}
+        if path.suffix == ".json":
+            self._read_merges(json.loads(path.read_text(encoding="utf-8")), path.name)
+        else:
+            self._read_ranks(path)
+
+    def _read_merges(self, spec: dict, name: str) -> None:
+        model = spec["model"]
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "unk_token") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or odd:
+            raise ValueError(f"{name}: a model with {odd or model['type']} isn't supported")
+        for step in (spec.get("normalizer") or {"normalizers": []}).get("normalizers", [spec.get("normalizer")]):
+            kind = step["type"]
+            if kind == "Replace" and "Regex" in step["pattern"]:
+                self.steps.append((kind, step["pattern"]["Regex"], step["content"]))
+            elif kind in ("NFC", "Lowercase"):
+                self.steps.append((kind, "", ""))
+            else:
+                raise ValueError(f"{name}: the normalizer {kind} isn't supported")
+        cuts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        *splits, last = cuts
+        whole = last["type"] == "ByteLevel" and not last["add_prefix_space"]
+        if whole and last["use_regex"] and not splits:
+            self.pattern = PATTERN
+        elif whole and not last["use_regex"] and len(splits) == 1 and splits[0]["type"] == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"]:
+            self.pattern = splits[0]["pattern"]["Regex"]
+        else:
+            raise ValueError(f"{name}: its way of cutting texts isn't supported")
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.first, self.last = np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32)
         for letter, byte in _byte_letters().items():
-            self.first[byte] = vocab[letter]
+            self.first[byte], self.last[byte] = vocab[letter], vocab[letter + end]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], dtype=np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
-        self._build(left << 32 | right, made)
-
-    def _build(self, keys: np.ndarray, made: np.ndarray) -> None:
-        """Open addressing in a table four times as large as needed at least; a pair's rank is its place in the list of merges."""
+        self._build(left << 32 | right, made, np.arange(len(pairs), dtype=np.int32))
+
+    def _read_ranks(self, path: Path) -> None:
+        """Any two tokens that make a third are a pair, with the third's rank; a piece that is a token itself isn't cut."""
+        self.whole = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
+        self.first = np.array([self.whole[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.last = self.first
+        found = [(self.whole[t[:k]] << 32 | self.whole[t[k:]], rank) for t, rank in self.whole.items() for k in range(1, len(t)) if t[:k] in self.whole and t[k:] in self.whole]
+        made = np.array([r for _, r in found], dtype=np.int32)
+        self._build(np.array([k for k, _ in found], dtype=np.int64), made, made)
+
+    def normal(self, text: str) -> str:
+        """The text as the vocabulary wants it before it is cut."""
+        for kind, pattern, content in self.steps:
+            if kind == "NFC":
+                text = unicodedata.normalize("NFC", text)
+            elif kind == "Replace":
+                text = regex.sub(pattern, content, text)
+            else:  # letter by letter, so that a sigma at a word's end is no exception
+                text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return text
+
+    def _build(self, keys: np.ndarray, made: np.ndarray, ranks: np.ndarray) -> None:
+        """Open addressing in a table four times as large as needed at least."""
         self.bits = int(np.ceil(np.log2(4 * max(2, len(keys)))))
         size = 1 << self.bits
         self.keys, self.rank, self.made = np.full(size, _EMPTY), np.full(size, _NONE, dtype=np.int32), np.full(size, -1, dtype=np.int32)
-        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+        for k, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
             while self.keys[slot] != _EMPTY:
                 slot = (slot + 1) & (size - 1)
-            self.keys[slot], self.rank[slot], self.made[slot] = key, rank, made[rank]
+            self.keys[slot], self.rank[slot], self.made[slot] = key, ranks[k], made[k]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -114,6 +172,7 @@ class Encoder:
     def _merge_long(self, data: bytes) -> np.ndarray:
         """The same merges for one long piece: a heap of (rank, place) over a linked list."""
         ids = self.first[np.frombuffer(data, dtype=np.uint8)]
+        ids[-1] = self.last[data[-1]]
         slots = self.find(ids[:-1], ids[1:])
         ranks = self.rank[slots]
         ids = ids.tolist()
@@ -153,7 +212,9 @@ class Encoder:
                 if len(lot):
                     text = b"".join(pieces[k] for k in lot)
                     ids = np.full((len(lot), width), -1, dtype=np.int32)
-                    ids[np.arange(width) < sizes[lot][:, None]] = self.first[np.frombuffer(text, dtype=np.uint8)]
+                    inner = np.arange(width) < sizes[lot][:, None]
+                    ids[inner] = self.first[data := np.frombuffer(text, dtype=np.uint8)]
+                    ids[np.arange(len(lot)), sizes[lot] - 1] = self.last[data[np.cumsum(sizes[lot]) - 1]]
                     self._merge_matrix(ids, out, lot)
             low, width = width, width + max(1, width // 2)
             width = min(width, WIDEST)
@@ -161,6 +222,10 @@ class Encoder:
                 break
         for k in np.flatnonzero(sizes > WIDEST):
             out[k] = self._merge_long(pieces[k])
+        if self.whole:
+            for k, piece in enumerate(pieces):
+                if piece in self.whole:
+                    out[k] = np.array([self.whole[piece]], dtype=np.int32)
         return out
 
 
@@ -168,7 +233,7 @@ class _Kept:
     """Encoded pieces by text, as slices of one array."""
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.cut = encoder, regex.compile(PATTERN)
+        self.encoder, self.cut = encoder, regex.compile(encoder.pattern)
         self.clear()
 
     def clear(self) -> None:
@@ -179,7 +244,7 @@ class _Kept:
         """All ids of the texts one after another, and how many each text has."""
         if len(self.at) > KEPT:
             self.clear()
-        cut = [self.cut.findall(t) for t in texts]
+        cut = [self.cut.findall(self.encoder.normal(t)) for t in texts]
         fresh = [p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.at]
         if fresh:
             new = self.encoder.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])
@@ -236,7 +301,8 @@ def _encoded(df: DataFrame, text: str, keep: list[str], out: str, kind: str, nam
 
 
 def token_ids(df: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """The columns ``keep`` and ``ids``: the ids of the whole text, special tokens' strings being ordinary text.
+    """The columns ``keep`` and ``ids``: the ids of the whole text by the vocabulary ``name`` (see Encoder), special tokens'
+    strings being ordinary text.
 
     Each task cuts its texts, and merges the distinct pieces it meets in matrices of pieces of like length. Nothing is
     shuffled. Null and empty texts keep their row and get an empty list. ``folder`` is read where the plan is made.

@@ -56,6 +56,40 @@ def test_matrix_equals_heap(encoder):
         assert ids.tolist() == encoder._merge_long(piece).tolist()
 
 
+def _other_library(name):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    if name.endswith("tiktoken"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(bpe.FOLDER, name).read_bytes().splitlines())}
+        return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    t = Tokenizer.from_file(os.path.join(bpe.FOLDER, name))
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"])
+def test_other_vocabularies(name):
+    encoder, library = bpe.Encoder(name), _other_library(name)
+    rnd = random.Random(9)
+    alphabet = "abAB \n\t.,'1٣é½ſΣσςİıяЯёЁй课😀\u0301\u200b\x1c\x85"
+    texts = [t for t in ODD if t] + ["ab 12345 cd", "ΑΣ ΑΣΑ", "Й й Ё́"] + ["".join(rnd.choices(alphabet, k=rnd.randrange(1, 200))) for _ in range(400)]
+    assert _ids(encoder, texts) == [library(t) for t in texts]
+    assert _ids(bpe.Encoder(name.split(".")[0] if "multi" in name or "word" in name else name), ["ab cd"]) == [library("ab cd")]
+
+
+def test_other_kinds_of_files_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="no vocabulary"):
+        bpe.Encoder("piece_bpe_32k")
+    with pytest.raises(ValueError, match="no vocabulary"):
+        bpe.Encoder("piece_bpe_32k.model")
+    (tmp_path / "odd.json").write_text('{"normalizer": {"type": "NFKC"}, "model": {"type": "BPE", "vocab": {}, "merges": []}, "pre_tokenizer": {"type": "Whitespace"}}')
+    with pytest.raises(ValueError, match="NFKC"):
+        bpe.Encoder("odd", str(tmp_path))
+
+
 def test_tables(spark, library):
     rows = [(1, "Привет, мир"), (2, None), (3, ""), (4, "слово " * 50_000), (5, "Привет, мир"), (None, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -94,6 +128,17 @@ def test_shares(spark):
     assert {(r.id, r.repeats) for r in again.values()} == {(r.id, r.repeats) for r in chosen.values()}
 
 
+def test_a_long_record_does_not_break_a_share(spark):
+    rnd = random.Random(8)
+    rows = [(n, "a", 5000 if n % 20 == 0 else rnd.randrange(20, 80)) for n in range(400)] + [(1000 + n, "b", rnd.randrange(20, 80)) for n in range(600)]
+    chosen, shares = _mixed(spark, rows, [("a", 0.5, 1), ("b", 0.5, 1)], total=40_000)
+    for s in shares.values():
+        assert 0.99 * s.budget <= s.reached <= s.budget == 20_000
+        assert s.met
+    assert {r.repeats for r in chosen.values()} == {1}
+    assert sum(r.sets_total for r in _mixed(spark, rows, [("a", 0.5, 1), ("b", 0.5, 1)])[1].values()) == 1
+
+
 def test_unmet_and_empty(spark):
     rows = [(n, "a", 10) for n in range(100)] + [(1000 + n, "b", 10) for n in range(2)]
     chosen, shares = _mixed(spark, rows, [("a", 0.5, 1), ("b", 0.4, 3), ("none", 0.1, 2)], total=1000)
