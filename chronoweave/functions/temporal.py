@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,10 +70,18 @@ def monday_of_week(number: Column, anchor: dt.date = ANCHOR) -> Column:
     return F.date_add(F.lit(anchor), ((number - 1) * 7).cast("int"))
 
 
-def day_in_week(week_from: Column, week_to: Column, weekday: Column) -> Column:
-    """The day with a weekday (0 is Monday) in a week that may begin and end on any day; null if it lies outside."""
+def day_in_week(week_from: Column, week_to: Column, weekday: Column, holidays: Sequence[dt.date] = ()) -> Column:
+    """The day with a weekday (0 is Monday) in a week that may begin and end on any day; null if it lies outside or is a holiday."""
     day = F.date_add(week_from, F.pmod(weekday - F.weekday(week_from), F.lit(7)).cast("int"))
-    return F.when(weekday.between(0, 6) & (day <= week_to), day)
+    free = day.isin(*holidays) if holidays else F.lit(False)
+    return F.when(weekday.between(0, 6) & (day <= week_to) & ~free, day)
+
+
+def matrix_days(week_from: Column, slots: Column) -> Column:
+    """The days of a weekly block whose slots are read as offsets from the week's first day (T17): an option of its own, as weekly
+    blocks have no days otherwise. Slots outside 0 to 6 are left out; without a week or slots the array is empty."""
+    good = F.filter(F.coalesce(slots, F.array().cast("array<int>")), lambda n: n.between(0, 6))
+    return F.coalesce(F.transform(good, lambda n: F.date_add(week_from, n)), F.array().cast("array<date>"))
 
 
 def academic_year_of(month: Column, start_year: int = 2026) -> Column:
@@ -81,8 +90,12 @@ def academic_year_of(month: Column, start_year: int = 2026) -> Column:
 
 
 def local_to_instant(local: Column, zone: Column | str) -> Column:
-    """The UTC instant of a wall time. In the repeated hour of autumn the earlier instant is taken."""
-    return F.to_utc_timestamp(local, zone)
+    """The UTC instant of a wall time. In the repeated hour of autumn the later instant is taken; a wall time that the clock
+    skips in spring goes forward by the change."""
+    first = F.to_utc_timestamp(local, zone)
+    after = [F.timestamp_micros(F.unix_micros(first) + m * 60_000_000) for m in (60, 30)]
+    same = [F.when(F.from_utc_timestamp(x, zone) == local, x) for x in after]
+    return F.coalesce(*same, first)
 
 
 def instant_to_local(instant: Column, zone: Column | str) -> Column:
@@ -126,6 +139,23 @@ def lesson_parts(start: Column, end: Column, whole: Column) -> Column:
     return F.when((end - start).isin(*DOUBLE) & ~F.coalesce(whole, F.lit(False)), two).otherwise(F.array(one(F.lit(None), start, end)))
 
 
+# Weekdays from Monday, and months as they stand after a day.
+DAY_NAMES = ("понедельник", "вторник", "среда", "четверг", "пятница", "суббота", "воскресенье")
+MONTH_NAMES = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+
+
+def day_in_words(day: Column) -> Column:
+    """A day as people read it: ``вторник, 6 октября`` (T22), whatever the locale of the machine."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k)
+    return F.concat(pick(DAY_NAMES, F.weekday(day) + 1), F.lit(", "), F.dayofmonth(day).cast("string"), F.lit(" "), pick(MONTH_NAMES, F.month(day)))
+
+
+def accepted_year_starts(today: Column) -> Column:
+    """The academic years whose documents are accepted on a day: the one that goes on (from July on) and the next."""
+    start = F.year(today) - F.when(F.month(today) >= 7, 0).otherwise(1)
+    return F.array(start, start + 1)
+
+
 def countdown(minutes: Column) -> Column:
     """A remaining time in words: days and hours, hours and minutes, or minutes."""
     d, h, m = F.floor(minutes / 1440), F.floor(minutes % 1440 / 60), minutes % 60

@@ -6,8 +6,12 @@ ignored for any script, so that Cyrillic words are treated like Latin ones. Null
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The edge of a word in any script.
 HEAD, TAIL = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -53,6 +57,13 @@ def clean_location(text: Column) -> Column:
     return _first(text, rf"{HEAD}лит\.?\s*", "лит. ")
 
 
+def without_footer(text: Column) -> Column:
+    """A place without the signature line that follows it at the foot of a page, and without signs at its ends."""
+    text = F.regexp_replace(clean_text(text), rf"(?iu){HEAD}Заведующий\s+Отделом\s+организации\s+учебного\s+процесса{TAIL}.*$", "")
+    text = _sub(_sub(text, r"\"?_+\"?\s*\d{4}\s*г\.?$"), r"\s*,\s*", ", ")
+    return _sub(text, "^[ ,/;]+|[ ,/;]+$")
+
+
 def _first(text: Column, pattern: str, by: str) -> Column:
     """Replace the first match only."""
     return F.regexp_replace(text, rf"(?isu)^(.*?){pattern}", f"$1{by}")
@@ -150,6 +161,78 @@ def palette_index(text: Column, colours: int = 8, seed: int = 0) -> Column:
     return F.pmod(F.aggregate(codes, F.lit(seed).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32))), F.lit(colours)).cast("int")
 
 
+# How the subject about the state's foundations is named.
+ORG = r"(?iu)(?<![\p{L}\p{N}_])ОРГ(?![\p{L}\p{N}_])|основы\s+российской\s+государственности"
+
+
+def is_org_subject(subject: Column) -> Column:
+    """Whether a subject is the one whose long blocks stay whole. Null counts as no."""
+    return F.coalesce(clean_text(subject).rlike(ORG), F.lit(False))
+
+
+def semantic_text(text: Column) -> Column:
+    """Small letters with ё as е; everything but letters and digits is one blank."""
+    return F.trim(_sub(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+", " "))
+
+
+def group_number(group: Column) -> Column:
+    """A group's code as a number to sort by; null if it isn't one."""
+    return F.when(group.rlike(r"^\d{1,9}$"), group.cast("int"))
+
+
+@F.pandas_udf(T.StringType())
+def colour_key(texts: pd.Series) -> pd.Series:
+    """A subject as key of its colour: compatibility forms composed, small letters, single blanks, at most 180 characters."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t.strip()).lower().split())[:180])
+
+
+def is_web_address(url: Column) -> Column:
+    return F.coalesce(url.rlike("(?i)^https?://"), F.lit(False))
+
+
+def is_colour(text: Column) -> Column:
+    """Whether a text is ``#`` and six hexadecimal digits."""
+    return F.coalesce(text.rlike("(?i)^#[0-9a-f]{6}$"), F.lit(False))
+
+
+def is_data_address(text: Column, most: int = 1_200_000) -> Column:
+    """Whether a text is data in base64, shorter than ``most`` characters."""
+    return F.coalesce((F.length(text) < most) & text.rlike("(?i)^data:[a-z0-9.+/-]+;base64,[a-z0-9+/=]+$"), F.lit(False))
+
+
+# Endings of files and what they are.
+RESOURCES = (("pdf", r"\.pdf$"), ("docx", r"\.docx?$"), ("xlsx", r"\.xlsx?$"), ("pptx", r"\.pptx?$"), ("zip", r"\.zip$"), ("image", r"\.(?:jpg|jpeg|png)$"))
+# What kinds of periods, states of tasks and priorities are called, and what anything else is.
+LABELS = {
+    "period": ({"study": "Обучение", "assessment": "Аттестация", "practice": "Практика", "vacation": "Каникулы", "session": "Сессия"}, "Учебный период"),
+    "status": ({"todo": "К выполнению", "in_progress": "В процессе"}, "Завершено"),
+    "priority": ({"high": "Высокий", "low": "Низкий"}, "Средний"),
+}
+
+
+def resource_type(name: Column, url: Column) -> Column:
+    """What a file is by the ending of its name, or of its address if it has no name; ``link`` for anything else."""
+    low = F.regexp_extract(F.lower(F.coalesce(F.nullif(name, F.lit("")), url, F.lit(""))), "^[^?#]*", 0)
+    out = F.lit("link")
+    for kind, ending in reversed(RESOURCES):
+        out = F.when(low.rlike(ending), kind).otherwise(out)
+    return out
+
+
+def label(code: Column, kind: str) -> Column:
+    """What people read for a code."""
+    names, other = LABELS[kind]
+    out = F.lit(other)
+    for c, name in names.items():
+        out = F.when(code == c, name).otherwise(out)
+    return out
+
+
+def material_scope(program: Column, course: Column, group: Column) -> Column:
+    """The key under which materials of a group are kept."""
+    return F.concat_ws(":", program, course.cast("string"), F.lower(F.trim(group)))
+
+
 def ics_text(text: Column) -> Column:
     """A text as calendar files want it: backslashes, commas, semicolons and line ends escaped."""
     return _sub(_sub(text, r"([\\,;])", r"\\$1"), r"\r?\n", r"\\n")

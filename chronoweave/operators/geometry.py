@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,82 @@ def weeks_of_cells(cells: DataFrame, bands: DataFrame, least: float = 0.75) -> D
     return met.withColumn("any", any_).where(F.col("good") | (~F.col("any") & F.col("centred"))).select("doc", "cell", "week_number")
 
 
+def cell_lessons(cells: DataFrame, bands: DataFrame, groups: DataFrame, least: float = 0.75) -> DataFrame:
+    """The weeks and groups that the drawn cells of a week matrix stand for (G18): ``doc``, ``cell``, ``group_code``, ``week_number``.
+
+    ``cells``: doc, cell, x0, x1, y0, y1; ``bands``: doc, week_number, a, b; ``groups``: doc, group_code, y (the middle of its row).
+    A cell merged over several rows holds for every group whose row's middle lies in it, one merged over several columns for
+    every week as in ``weeks_of_cells``.
+    """
+    weeks = weeks_of_cells(cells, bands, least)
+    rows = groups.select(F.col("doc").alias("__d"), "group_code", "y")
+    inside = cells.join(rows, (F.col("doc") == F.col("__d")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))).select("doc", "cell", "group_code")
+    return inside.join(weeks, ["doc", "cell"]).select("doc", "cell", "group_code", "week_number")
+
+
+_BLOCKS = "doc string, group_code string, x0 double, x1 double, text string"
+
+
+def _row_blocks(words: pd.DataFrame) -> list[tuple[str, str, float, float, str]]:
+    """The words of one group's row as blocks: lines of words of like height, and lines joined that overlap and lie close."""
+    blocks: list[list] = []  # x0, x1, y, text
+    for w in words.sort_values(["y", "x0", "text"]).itertuples():
+        if blocks and abs(w.y - blocks[-1][2]) <= 4:
+            last = blocks[-1]
+            last[0], last[1], last[3] = min(last[0], w.x0), max(last[1], w.x1), f"{last[3]} {w.text}"
+        else:
+            blocks.append([w.x0, w.x1, w.y, w.text])
+    joined: list[list] = []
+    for b in blocks:
+        if joined and abs(b[2] - joined[-1][2]) <= 18 and b[0] < joined[-1][1] + words["spacing"].iloc[0] * 0.35:
+            last = joined[-1]
+            last[0], last[1], last[2], last[3] = min(last[0], b[0]), max(last[1], b[1]), (last[2] + b[2]) / 2, f"{last[3]} {b[3]}"
+        else:
+            joined.append(b)
+    return [(words["doc"].iloc[0], words["group_code"].iloc[0], b[0], b[1], b[3]) for b in joined]
+
+
+def matrix_blocks(words: DataFrame, weeks: DataFrame, groups: DataFrame) -> DataFrame:
+    """The text blocks in each group's row of a week matrix without drawn lines (G19): ``doc``, ``group_code``, ``x0``, ``x1``, ``text``.
+
+    ``words``: doc, x0, x1, y, text; ``weeks``: doc, week_number, x (middles of columns); ``groups``: doc, group_code, y (middles of
+    rows). Rows reach halfway to their neighbours, 40 beyond the first and last; the table three quarters of a column beyond its
+    weeks. A row of a page is one group of bounded size.
+    """
+    rows = column_bounds(groups.select("doc", F.col("group_code").alias("name"), F.col("y").alias("x")), 20.0).select(F.col("doc").alias("__d"), F.col("name").alias("group_code"), "low", "high")
+    span = week_spacing(weeks).select(F.col("doc").alias("__e"), "spacing", (F.col("first") - F.col("spacing") * 0.75).alias("left"), (F.col("last") + F.col("spacing") * 0.75).alias("right"))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    inside = words.join(rows, (F.col("doc") == F.col("__d")) & (F.col("y") > F.col("low") + 1) & (F.col("y") < F.col("high") - 1))
+    inside = inside.join(span, F.col("doc") == F.col("__e")).where((middle > F.col("left") + 1) & (middle < F.col("right") - 1) & ~F.col("text").rlike("^[0-9]{3}$"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_row_blocks(frame), columns=["doc", "group_code", "x0", "x1", "text"])
+
+    return inside.select("doc", "group_code", "x0", "x1", "y", "text", "spacing").groupBy("doc", "group_code").applyInPandas(run, _BLOCKS)
+
+
+def week_spacing(weeks: DataFrame) -> DataFrame:
+    """The usual distance of the columns of weeks (upper median), and where the first and last are: ``doc``, ``spacing``, ``first``, ``last``."""
+    xs = weeks.groupBy("doc").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    steps = F.transform(F.sequence(F.lit(2), F.size("xs")), lambda k: F.element_at("xs", k) - F.element_at("xs", k - 1))
+    spacing = F.coalesce(F.when(F.size("xs") > 1, upper_median(steps)), F.lit(1.0))
+    return xs.select("doc", spacing.alias("spacing"), F.array_min("xs").alias("first"), F.array_max("xs").alias("last"))
+
+
+def weeks_of_blocks(blocks: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The weeks that text blocks stand for: of a block about as wide as a column the weeks within half a column of the nearest
+    middle, of a wider one all whose middle it covers: the columns of ``blocks`` and ``week_number``."""
+    numbered = blocks.join(week_spacing(weeks).select(F.col("doc").alias("__d"), "spacing"), F.col("doc") == F.col("__d")).drop("__d")
+    middles = weeks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("x", "week_number"))).alias("ws")).withColumnRenamed("doc", "__e")
+    met = numbered.join(middles, F.col("doc") == F.col("__e"))
+    centre = (F.col("x0") + F.col("x1")) / 2
+    nearest = F.array_min(F.transform("ws", lambda w: F.struct(F.abs(w["x"] - centre).alias("far"), w["x"].alias("x"))))["x"]
+    wide = F.col("x1") - F.col("x0") > F.col("spacing") * 0.95
+    covered = lambda w: (w["x"] >= F.col("x0") - F.col("spacing") * 0.12) & (w["x"] <= F.col("x1") + F.col("spacing") * 0.12)
+    found = F.filter("ws", lambda w: F.when(wide, covered(w)).otherwise(F.abs(w["x"] - F.col("__near")) <= F.col("spacing") * 0.51))
+    return met.withColumn("__near", nearest).select(*blocks.columns, F.explode(F.array_distinct(F.transform(found, lambda w: w["week_number"]))).alias("week_number"))
+
+
 def upper_median(values: Column) -> Column:
     """The middle number of an array in order, the upper one of two."""
     return F.try_element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)

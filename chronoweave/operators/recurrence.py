@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,73 @@ def change_occurrences(rows: DataFrame, series_id: str, index: int, scope: str,
     return drop_occurrences(rows, series_id, index, scope).unionByName(new)
 
 
+def change_series(rows: DataFrame, changes: DataFrame, owner: str = "owner_id") -> DataFrame:
+    """Many changes to many series at once (L2, L3). ``rows``: ``owner``, series_id, occurrence_index, frequency and any columns.
+    ``changes``: ``owner``, series_id, at_index, scope (``single``, ``following``, ``series``), new_series_id, and ``delete``.
+
+    Of each change the rows it hits go, if it deletes; else a single occurrence stays in its series and loses its recurrence, and
+    following ones or the whole series go over to ``new_series_id`` and are numbered from 0. Rows of another owner are never
+    hit; a series may have one change. Rows without a series are no part of any.
+    """
+    keys = changes.select(F.col(owner).alias("__o"), F.col("series_id").alias("__s"), "at_index", "scope", "new_series_id", "delete")
+    met = rows.join(keys, (F.col(owner) == F.col("__o")) & (F.col("series_id") == F.col("__s")), "left")
+    at = F.col("occurrence_index")
+    hit = F.when(F.col("scope") == "single", at == F.col("at_index")).when(F.col("scope") == "following", at >= F.col("at_index")).otherwise(F.col("scope") == "series")
+    hit = F.coalesce(hit, F.lit(False))
+    moved = hit & (F.col("scope") != "single")
+    new = {
+        "series_id": F.when(moved, F.col("new_series_id")).otherwise(F.col("series_id")),
+        "occurrence_index": F.when(moved & (F.col("scope") == "following"), at - F.col("at_index")).otherwise(at),
+        "frequency": F.when(hit & (F.col("scope") == "single"), F.lit(None).cast("string")).otherwise(F.col("frequency")),
+    }
+    kept = met.where(~(hit & F.coalesce("delete", F.lit(False))))
+    return kept.select(*[new[c].cast(rows.schema[c].dataType).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+# What events may be, how they may repeat, and how long their texts may be.
+STATUSES, PRIVACY, FREQUENCIES = ("planned", "confirmed", "in_progress", "completed", "cancelled"), ("public", "private"), ("daily", "weekly", "monthly", "yearly")
+LENGTHS = {"description": 10_000, "category": 80, "location": 500, "meeting_url": 1000}
+MOST_ATTENDEES = 100
+_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[zZ]|[+-]\d{2}:?\d{2})$"
+
+
+def read_instant(text: Column) -> Column:
+    """The instant of an ISO text with a zone; null for anything else."""
+    colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(_INSTANT), F.try_to_timestamp(colon))
+
+
+def payload_issues(payloads: DataFrame, row_id: str, zones: Sequence[str] | None = None, statuses: Sequence[str] = STATUSES) -> DataFrame:
+    """What is wrong with events handed in (L6): ``row_id``, ``issue``. Columns: title, start_at and end_at (ISO texts with a zone),
+    time_zone, status, privacy, frequency, repeat_interval, until_date (text). A null status, privacy or zone stands for the default."""
+    start, end = read_instant(F.col("start_at")), read_instant(F.col("end_at"))
+    repeats = F.col("frequency").isNotNull()
+    rules = {
+        "no title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "no instant": start.isNull() | end.isNull(),
+        "ends before it starts": end <= start,
+        "unknown frequency": repeats & ~F.col("frequency").isin(*FREQUENCIES),
+        "strange interval": repeats & ~F.coalesce("repeat_interval", F.lit(1)).between(1, 31),
+        "strange end of the series": repeats & F.col("until_date").isNotNull() & F.try_to_date("until_date", "yyyy-MM-dd").isNull(),
+        "unknown status": ~F.coalesce("status", F.lit("planned")).isin(*statuses),
+        "unknown privacy": ~F.coalesce("privacy", F.lit("private")).isin(*PRIVACY),
+    }
+    if zones is not None:
+        rules["unknown zone"] = ~F.coalesce("time_zone", F.lit("UTC")).isin(*zones)
+    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
+    return payloads.select(F.col(row_id), F.explode(found).alias("issue"))
+
+
+def normal_payloads(payloads: DataFrame) -> DataFrame:
+    """Events handed in with trimmed and shortened texts, instants, and defaults for what isn't given; wrong ones are to be left out before."""
+    text = lambda c, most: F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, most)
+    guests = F.slice(F.filter(F.transform(F.coalesce("attendees", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, MOST_ATTENDEES)
+    new = {"title": F.trim("title"), "start_at": read_instant(F.col("start_at")), "end_at": read_instant(F.col("end_at")), "attendees": guests}
+    new |= {c: text(c, most) for c, most in LENGTHS.items()} | {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (("status", "planned"), ("privacy", "private"), ("time_zone", "UTC"))}
+    new["category"] = F.coalesce(F.nullif(new["category"], F.lit("")), F.lit("personal"))
+    return payloads.select(*[new[c].alias(c) if c in new else F.col(c) for c in payloads.columns])
+
+
 def in_range(rows: DataFrame, owner: str, start: str, end: str, status: str | None = None, category: str | None = None) -> DataFrame:
     """An owner's events that end after ``start`` and begin before ``end`` (instants with a zone), in order of start and title (O2)."""
     a, z = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))

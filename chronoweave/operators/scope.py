@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,38 @@ def agenda_week(events: DataFrame, program: str, course: int, group: str, stream
     return found.orderBy("event_date", "start_time", F.collate("subject", "ru"), "event_id")
 
 
-def by_day(events: DataFrame) -> DataFrame:
-    """The events of each day as an ordered array of ids."""
+def by_day(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The events of each day (and key ``by``, whose events of one day are in one row) as an ordered array of ids."""
     item = F.struct("start_time", "event_id")
-    return events.where("event_date IS NOT NULL").groupBy("event_date").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["event_id"]).alias("event_ids"))
+    return events.where("event_date IS NOT NULL").groupBy(*by, "event_date").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["event_id"]).alias("event_ids"))
+
+
+def unscoped_in_scope(events: DataFrame, group: str, stream: str | None) -> DataFrame:
+    """The older rule (P18): an event without a group concerns everybody only if its ``audience`` is ALL; else its group must be the
+    viewer's. Streams must not differ where both are known."""
+    nobody = F.coalesce(F.trim("group_code"), F.lit("")) == ""
+    mine = (nobody & (F.col("audience") == "ALL")) | (~nobody & applies(F.col("group_code"), F.lit(None).cast("string"), F.lit(group), F.lit(None).cast("string")))
+    streams = F.col("stream_code").isNull() | F.lit(stream is None) | (F.col("stream_code") == F.lit(stream))
+    return events.where(F.coalesce(mine, F.lit(False)) & streams)
+
+
+def with_defaults(events: DataFrame, status: str = "all", category: str = "all") -> DataFrame:
+    """Events of a status and a category; those without count as planned and personal (P5)."""
+    out = events
+    for column, wanted, default in (("status", status, "planned"), ("category", category, "personal")):
+        if wanted != "all":
+            out = out.where(F.coalesce(F.col(column), F.lit(default)) == wanted)
+    return out
+
+
+def complete_rows(rows: DataFrame, required: Sequence[str], program: str | None = None, course: int | None = None) -> DataFrame:
+    """Rows that have something in every required column and, if asked, are of a program's course."""
+    out = rows.where(" AND ".join(f"coalesce(trim(CAST(`{c}` AS STRING)), '') <> ''" for c in required))
+    return out if program is None else out.where((F.col("program_code") == program) & (F.col("course") == course))
+
+
+def both_kinds(official: DataFrame, personal: DataFrame) -> DataFrame:
+    """Official and personal events in one table, with ``kind`` (schedule, personal) and ``read_only``; columns that one of them
+    hasn't are null (U9). Every row of both stays."""
+    mark = lambda df, kind: df.withColumns({"kind": F.lit(kind), "read_only": F.lit(kind == "schedule")})
+    return mark(official, "schedule").unionByName(mark(personal, "personal"), allowMissingColumns=True)

@@ -30,17 +30,19 @@ def week_lists_read(spark: SparkSession, d: str) -> DataFrame:
 
 def date_label_audit(spark: SparkSession, d: str) -> DataFrame:
     """Years of the dates printed in documents."""
-    out = docs.date_labels(table(spark, d, "documents"), "doc_id", "text", 2026)
-    return out.select("doc", "years", "conflicting_years", "labels")
+    return docs.date_labels(table(spark, d, "documents"), "doc_id", "text", 2026)
 
 
 def source_links(spark: SparkSession, d: str) -> DataFrame:
-    """Source pages written as a page of links and read back, classified."""
-    s = table(spark, d, "source_provenance").select("url").distinct()
-    item = F.concat(F.lit("<li><a href='"), "url", F.lit("#top'>"), F.lit("файл"), F.lit("</a></li>"))
-    page = s.groupBy(F.lit("https://hub.example/").alias("page")).agg(F.concat(F.lit("<h2>Расписание</h2>"), F.array_join(F.array_sort(F.collect_list(item)), "")).alias("html"))
-    found = docs.links(page, "page", "html")
-    return docs.classify(found, "heading", "url").select("url", "heading", "program", "course_number", "kind")
+    """Source pages written as pages of links, one for each month, and read back: links to timetables with what they are about
+    (S2, S3, P16, F12). Half of them stand under a heading, each is there twice, and links to debts are left out."""
+    s = table(spark, d, "source_provenance").select("url", F.date_format("first_seen_on", "yyyy-MM").alias("month")).distinct()
+    link = lambda url, text: F.concat(F.lit("<li><a href='"), url, F.lit("#top'>"), F.lit(text), F.lit("</a></li>"))
+    under = F.when(F.length("url") % 2 == 0, F.lit("<h2>Педиатрия, поток Б</h2>")).otherwise(F.lit("<h3>Расписание</h3>"))
+    item = F.concat(under, link(F.col("url"), "файл"), link(F.col("url"), "ещё раз"), link(F.concat("url", F.lit(".old")), "график ликвидации задолженностей"))
+    pages = s.groupBy(F.concat(F.lit("https://hub.example/"), F.coalesce("month", F.lit(""))).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("html"))
+    found = docs.timetable_links(docs.links(pages, "page", "html"))
+    return found.select("page", "url", "title", "heading", "program", "course_number", "stream", "kind", "mismatch")
 
 
 def provenance_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -64,13 +66,13 @@ SELECT doc, week_number, w.a AS from_date, w.z AS to_date, count(*) OVER (PARTIT
     "date_label_audit": """
 WITH x AS (SELECT doc_id, list_filter(regexp_extract_all(' ' || regexp_replace(text, '(\\d)', '\\1', 'g'), '\\d[\\d.]*\\d'), lambda p: regexp_full_match(p, '\\d{1,2}\\.\\d{1,2}\\.(\\d{4}|\\d{2})')) AS ls FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, list_filter(ls, lambda p: CAST(split_part(p, '.', 1) AS INT) BETWEEN 1 AND 31 AND CAST(split_part(p, '.', 2) AS INT) BETWEEN 1 AND 12) AS ls FROM x),
-y AS (SELECT doc_id, len(ls) AS labels, list_sort(list_distinct(list_transform(ls, lambda p: CAST(CASE WHEN length(split_part(p, '.', 3)) = 2 THEN '20' || split_part(p, '.', 3) ELSE split_part(p, '.', 3) END AS INT)))) AS years FROM g)
-SELECT doc_id AS doc, years, list_filter(years, lambda v: v < 2026 OR v > 2027) AS conflicting_years, CAST(labels AS INT) AS labels FROM y""",
+y AS (SELECT doc_id, len(ls) AS labels, ls[1:40] AS samples, list_sort(list_distinct(list_transform(ls, lambda p: CAST(CASE WHEN length(split_part(p, '.', 3)) = 2 THEN '20' || split_part(p, '.', 3) ELSE split_part(p, '.', 3) END AS INT)))) AS years FROM g)
+SELECT doc_id AS doc, years, list_filter(years, lambda v: v < 2026 OR v > 2027) AS conflicting_years, samples, CAST(labels AS INT) AS labels FROM y""",
     "source_links": """
-SELECT url, 'Расписание' AS heading,
-  CASE WHEN contains(url, '370501') THEN '37.05.01' WHEN contains(url, '310502') THEN '31.05.02' WHEN contains(url, '310501') THEN '31.05.01' END AS program,
-  CAST(nullif(regexp_extract(url, '_([1-6])k_', 1), '') AS INT) AS course_number, CASE WHEN contains(url, '/lec_') THEN 'lecture' WHEN contains(url, '/prak_') THEN 'practice' END AS kind
-FROM (SELECT DISTINCT url FROM source_provenance)""",
+WITH u AS (SELECT DISTINCT url, 'https://hub.example/' || COALESCE(strftime(first_seen_on, '%Y-%m'), '') AS page, CASE WHEN length(url) % 2 = 0 THEN 'Педиатрия, поток Б' ELSE 'Расписание' END AS heading FROM source_provenance)
+SELECT page, url, 'файл' AS title, heading, CASE WHEN heading <> 'Расписание' THEN '31.05.02' WHEN contains(url, '370501') THEN '37.05.01' WHEN contains(url, '310502') THEN '31.05.02' WHEN contains(url, '310501') THEN '31.05.01' END AS program,
+  CAST(nullif(regexp_extract(url, '_([1-6])k_', 1), '') AS INT) AS course_number, CASE WHEN heading <> 'Расписание' THEN 'B' END AS stream, CASE WHEN contains(url, '/lec_') THEN 'lecture' WHEN contains(url, '/prak_') THEN 'practice' END AS kind, FALSE AS mismatch
+FROM u WHERE regexp_matches(url, '/(lec|prak)_') AND NOT regexp_matches(url, 'likvid|zadolzh|kug')""",
     "provenance_checks": """
 SELECT issue, count(*) AS sources FROM (
   SELECT 'no digest' AS issue FROM source_provenance WHERE NOT COALESCE(regexp_matches(sha256, '^[0-9a-f]{64}$'), FALSE)

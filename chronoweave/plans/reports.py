@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import temporal, text
 from chronoweave.functions.clock import minutes_of_day
 from chronoweave.operators import dedupe, joins
-from chronoweave.plans.timetable import _DAY_SQL, _calendar, _clean, _minutes
+from chronoweave.plans.timetable import _clean, _minutes
 from chronoweave.sources.tables import table
 
 
@@ -19,11 +19,6 @@ def subject_badges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "schedule_event").where("subject IS NOT NULL").select(key()).distinct().join(rules, "subject_key", "left").fillna(0, ["rules"])
 
 
-def subjects_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """The different subjects of typed rules in the order of the Russian alphabet (``all_subjects_in_order`` has those of events, too)."""
-    return _subjects(spark, d, "manual_rule").distinct().orderBy(F.collate("subject", "ru"))
-
-
 def all_subjects_in_order(spark: SparkSession, d: str) -> DataFrame:
     """The different subjects of events and typed rules in the order of the Russian alphabet, empty ones left out."""
     found = _subjects(spark, d, "schedule_event").distinct().unionByName(_subjects(spark, d, "manual_rule").distinct())
@@ -61,16 +56,18 @@ def day_board(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def shifted_days(spark: SparkSession, d: str) -> DataFrame:
-    """Captured lessons whose day by calendar isn't their weekday: none, if the calendar's arithmetic is right (V4)."""
-    placed, _ = joins.resolve_days(table(spark, d, "raw_event"), _calendar(spark, d))
-    return placed.groupBy((F.weekday("event_date") == F.col("weekday")).alias("fits")).agg(F.count("*").alias("n"))
+def days_in_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the day of an event lies in one of the weeks that it names, counted from the anchor (V4): per course."""
+    e = table(spark, d, "schedule_event").where("event_date IS NOT NULL AND weeks_spec IS NOT NULL")
+    fits = F.array_contains(text.week_list(F.col("weeks_spec")), temporal.week_number(F.col("event_date")))
+    return e.groupBy("program_code", "course").agg(F.count_if(fits).alias("inside"), F.count_if(~fits).alias("outside"))
 
 
 def room_tails(spark: SparkSession, d: str) -> DataFrame:
-    """Places with words after the room number, which may be a following subject (V5)."""
-    e = table(spark, d, "schedule_event").where(F.col("location_text").rlike(r"ауд\.\s*[0-9.]+[А-Я]?\s+[А-ЯЁ][а-яё]{3,}"))
-    return e.select("event_id", "location_text").distinct()
+    """Places with a word after the room, which may be a subject that ran into them (V5): raw_event, each text once with its number."""
+    tail = r"(?iu)(?:(?:^|[^\p{L}])(?:ауд|каб)\.?\s*[a-zа-я0-9./№-]+|(?:^|[,;]\s*)[a-zа-я]?[0-9]+[./][a-zа-я0-9./№-]+)\s+[а-яёa-z][а-яёa-z-]+(?:\s+[а-яёa-z-]{2,}){0,8}$"
+    e = table(spark, d, "raw_event").where(text.clean_text(F.col("location_text")).rlike(tail))
+    return e.groupBy("location_text").agg(F.count("*").alias("rows_hit"))
 
 
 def long_days(spark: SparkSession, d: str) -> DataFrame:
@@ -93,13 +90,12 @@ def capture_lag(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(middle, "parser_name", "left")
 
 
-QUERIES = {f.__name__: f for f in (subject_badges, subjects_in_order, all_subjects_in_order, merged_periods, period_slots, day_board, shifted_days, room_tails, long_days, capture_lag)}
+QUERIES = {f.__name__: f for f in (subject_badges, all_subjects_in_order, merged_periods, period_slots, day_board, days_in_weeks, room_tails, long_days, capture_lag)}
 
 ORACLE = {
     "subject_badges": f"""
 WITH e AS (SELECT DISTINCT lower({_clean("subject")}) AS k FROM schedule_event WHERE subject IS NOT NULL), r AS (SELECT lower({_clean("subject")}) AS k, count(*) AS n FROM manual_rule WHERE subject IS NOT NULL GROUP BY 1)
 SELECT e.k AS subject_key, COALESCE(r.n, 0) AS rules FROM e LEFT JOIN r USING (k)""",
-    "subjects_in_order": f"SELECT DISTINCT {_clean('subject')} AS subject FROM manual_rule WHERE subject IS NOT NULL",
     "all_subjects_in_order": f"""
 SELECT subject FROM (SELECT {_clean('subject')} AS subject FROM schedule_event WHERE subject IS NOT NULL UNION SELECT {_clean('subject')} FROM manual_rule WHERE subject IS NOT NULL) WHERE subject <> ''""",
     "merged_periods": """
@@ -111,8 +107,12 @@ WITH w AS (SELECT DISTINCT academic_year, week_number, from_date, to_date FROM a
 SELECT plan_code, period_kind, count(DISTINCT week_number) AS weeks FROM p JOIN w ON p.academic_year IS NOT DISTINCT FROM w.academic_year AND p.from_date <= w.to_date AND w.from_date <= p.to_date GROUP BY ALL HAVING count(*) > 0""",
     "day_board": """
 SELECT program_code, course, count(*) FILTER (event_date = DATE '2026-11-16') AS today, count(*) FILTER (event_date BETWEEN DATE '2026-11-16' AND DATE '2026-11-22') AS this_week, count(*) FILTER (event_date > DATE '2026-11-16') AS later, count(*) AS total FROM schedule_event GROUP BY ALL""",
-    "shifted_days": f"{_DAY_SQL} SELECT isodow(day) - 1 = weekday AS fits, count(*) AS n FROM placed WHERE weekday BETWEEN 0 AND 6 AND day <= z GROUP BY 1",
-    "room_tails": "SELECT DISTINCT event_id, location_text FROM schedule_event WHERE regexp_matches(location_text, 'ауд\\.\\s*[0-9.]+[А-Я]?\\s+[А-ЯЁ][а-яё]{3,}')",
+    "days_in_weeks": f"""
+WITH e AS (SELECT *, CAST(floor((date_trunc('week', event_date)::DATE - DATE '2026-08-31') / 7) + 1 AS INT) AS w, regexp_replace(weeks_spec, '[–—−]', '-', 'g') AS s FROM schedule_event WHERE event_date IS NOT NULL AND weeks_spec IS NOT NULL),
+x AS (SELECT *, w BETWEEN 1 AND 52 AND list_contains(list_concat(flatten(list_transform(regexp_extract_all(s, '\\d{{1,2}}\\s*-\\s*\\d{{1,2}}'), lambda p: range(CAST(regexp_extract(p, '^\\d+') AS BIGINT), CAST(regexp_extract(p, '\\d+$') AS BIGINT) + 1))), list_transform(regexp_extract_all(s, '\\d{{1,2}}'), lambda p: CAST(p AS BIGINT))), w) AS fits FROM e)
+SELECT program_code, course, count(*) FILTER (fits) AS inside, count(*) FILTER (NOT fits) AS outside FROM x GROUP BY ALL""",
+    "room_tails": f"""
+SELECT location_text, count(*) AS rows_hit FROM raw_event WHERE regexp_matches({_clean("location_text")}, '(?:(?:^|[^\\p{{L}}])(?:ауд|каб)\\.?\\s*[a-zа-я0-9./№-]+|(?:^|[,;]\\s*)[a-zа-я]?[0-9]+[./][a-zа-я0-9./№-]+)\\s+[а-яёa-z][а-яёa-z-]+(?:\\s+[а-яёa-z-]{{2,}}){{0,8}}$', 'i') GROUP BY ALL""",
     "long_days": f"""
 SELECT program_code, group_code, event_date, sum(m)::BIGINT AS minutes FROM (SELECT DISTINCT program_code, group_code, event_date, event_id, {_minutes("end_time")} - {_minutes("start_time")} AS m FROM schedule_event WHERE event_date IS NOT NULL AND group_code IS NOT NULL)
 GROUP BY ALL ORDER BY minutes DESC, program_code, group_code, event_date LIMIT 10""",

@@ -41,13 +41,13 @@ def _subject(c: str) -> str:
     x = f"regexp_replace({_clean(c)}, '[–—−]', '-', 'g')"
     x = f"regexp_replace({x}, '\\s*\\*+\\s*$', '')"
     x = f"regexp_replace({x}, '^дисциплина\\s*[:.-]?\\s*', '', 'i')"
-    x = f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?:{text._KINDS})($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'gi')"
+    x = f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(?:лекция|практическое занятие|практика|пз|лабораторная работа|лабораторная|семинарское занятие|семинар)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'gi')"
     x = f"regexp_replace(regexp_replace({x}, '\\s+([,.;:])', '\\1', 'g'), '\\s{{2,}}', ' ', 'g')"
     return f"trim(regexp_replace({x}, '^[ ,.;:|/\\-]+|[ ,.;:|/\\-]+$', '', 'g'), ' ')"
 
 
 def _teacher(c: str) -> str:
-    x = f"regexp_replace({_clean(c)}, '^(?:{text._TITLES})\\s*:?\\s*', '', 'i')"
+    x = f"regexp_replace({_clean(c)}, '^(?:старший преподаватель|преподаватель|преп\\.|доцент|профессор|ассистент)\\s*:?\\s*', '', 'i')"
     return f"trim(regexp_replace(regexp_replace({x}, '\\s*[,;|]+\\s*', ', ', 'g'), '\\s+', ' ', 'g'), ' ')"
 
 
@@ -73,9 +73,6 @@ def _clock(m: str) -> str:
     return f"lpad(CAST({m} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({m} % 60 AS VARCHAR), 2, '0')"
 
 
-_ORG = "(?iu)(?<![\\p{L}])ОРГ(?![\\p{L}])|основы\\s+российской\\s+государственности"
-
-
 @query(f"""
 SELECT event_id, {_subject("subject")} AS subject_clean, {_location("location_text")} AS location_clean, {_teacher("teacher")} AS teacher_clean, {_group("group_code")} AS group_clean,
   CASE WHEN regexp_matches(translate(upper({_clean("stream_code")}), 'ЁАБ', 'ЕAB'), '^(?:ПОТОК\\s*)?A$') THEN 'A' WHEN regexp_matches(translate(upper({_clean("stream_code")}), 'ЁАБ', 'ЕAB'), '^(?:ПОТОК\\s*)?B$') THEN 'B' END AS stream_clean,
@@ -104,14 +101,17 @@ def agenda_week(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT g.program_code, g.course, g.group_code AS to_group, count(*) AS events, count(DISTINCT e.event_id) AS different
+SELECT g.program_code, g.course, g.group_code AS to_group, count(*) AS events, count(DISTINCT ROW(e.event_id, {_group("e.group_code")}, e.stream_code)) AS different
 FROM schedule_event e JOIN (SELECT DISTINCT program_code, course, group_code, stream_code FROM group_ref) g ON g.program_code = e.program_code AND g.course = e.course
   AND ({_everybody("e.group_code")} OR {_group("e.group_code")} = {_group("g.group_code")}) AND (e.stream_code IS NULL OR g.stream_code IS NULL OR e.stream_code = g.stream_code)
 GROUP BY ALL""")
 def scope_events(spark: SparkSession, d: str) -> DataFrame:
-    """The events that concern each group, counted."""
-    met = scope.scope_join(table(spark, d, "schedule_event"), table(spark, d, "group_ref"))
-    return met.groupBy("program_code", "course", "to_group").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("different"))
+    """The events that concern each group, counted (J5, J6, J21): counted per group and stream before they meet the groups."""
+    e = table(spark, d, "schedule_event").withColumn("group_code", text.group_code(F.col("group_code")))
+    each = e.groupBy("program_code", "course", "group_code", "stream_code", "event_id").agg(F.count("*").alias("n"))
+    counted = each.groupBy("program_code", "course", "group_code", "stream_code").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    met = scope.scope_join(counted, table(spark, d, "group_ref"))
+    return met.groupBy("program_code", "course", "to_group").agg(F.sum("n").alias("events"), F.sum("m").alias("different"))
 
 
 _KEY_SQL = f"program_code, course, {_group('group_code')}, stream_code, event_date, start_time, end_time, lower({_subject('subject')}), lower({_location('location_text')})"
@@ -167,7 +167,7 @@ UNION ALL SELECT event_id, start_time, end_time, NULL FROM ({_SPLIT_SQL}) WHERE
 def split_double(spark: SparkSession, d: str) -> DataFrame:
     """Double blocks as two lessons."""
     e = table(spark, d, "schedule_event")
-    return islands.split_double(e, F.col("subject").rlike(_ORG)).select("event_id", "start_time", "end_time", "double_part")
+    return islands.split_double(e, text.is_org_subject(F.col("subject"))).select("event_id", "start_time", "end_time", "double_part")
 
 
 _SAME = ["program_code", "course", "group_code", "stream_code", "event_date", "lesson_type", "subject", "location_text", "teacher", "half"]
@@ -209,39 +209,51 @@ def week_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _calendar(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "academic_week").where("academic_year = '2026/2027' AND from_date <= to_date")
+    """The weeks of six calendars, one for each course: the first six of the year by code."""
+    weeks = table(spark, d, "academic_week").where("academic_year = '2026/2027' AND from_date <= to_date")
+    codes = weeks.select("calendar_code").distinct().orderBy("calendar_code").limit(6)
+    return weeks.join(codes.select("calendar_code", F.row_number().over(Window.orderBy("calendar_code")).alias("course")), "calendar_code")
 
 
-_DAY_SQL = """
-WITH cal AS (SELECT week_number, w.a AS a, w.z AS z FROM (SELECT week_number, min({'a': from_date, 'z': to_date}) AS w FROM academic_week WHERE academic_year = '2026/2027' AND from_date <= to_date GROUP BY week_number)),
-placed AS (SELECT r.*, c.z, CAST(c.a + CAST((r.weekday - (isodow(c.a) - 1) + 7) % 7 AS INT) AS DATE) AS day FROM raw_event r LEFT JOIN cal c USING (week_number))"""
+_CAL_SQL = """
+codes AS (SELECT calendar_code, row_number() OVER (ORDER BY calendar_code) AS course FROM (SELECT DISTINCT calendar_code FROM academic_week WHERE academic_year = '2026/2027' AND from_date <= to_date)),
+cal AS (SELECT course, week_number, w.a AS a, w.z AS z FROM (SELECT course, week_number, min({'a': from_date, 'z': to_date}) AS w FROM academic_week JOIN codes USING (calendar_code) WHERE course <= 6 AND academic_year = '2026/2027' AND from_date <= to_date GROUP BY ALL))"""
+_DAY_SQL = f"""
+WITH {_CAL_SQL},
+placed AS (SELECT r.*, c.a, c.z, CAST(c.a + CAST((r.weekday - (isodow(c.a) - 1) + 7) % 7 AS INT) AS DATE) AS day FROM raw_event r LEFT JOIN cal c USING (course, week_number))"""
 
 
 @query(f"{_DAY_SQL} SELECT raw_id, day AS event_date FROM placed WHERE weekday BETWEEN 0 AND 6 AND day <= z")
 def calendar_days(spark: SparkSession, d: str) -> DataFrame:
-    """The days of captured lessons by academic week and weekday."""
-    return joins.resolve_days(table(spark, d, "raw_event"), _calendar(spark, d))[0].select("raw_id", "event_date")
+    """The days of captured lessons by academic week and weekday, each course with a calendar of its own."""
+    return joins.resolve_days(table(spark, d, "raw_event"), _calendar(spark, d), calendar=["course"])[0].select("raw_id", "event_date")
 
 
 @query(f"{_DAY_SQL} SELECT raw_id FROM placed WHERE NOT COALESCE(weekday BETWEEN 0 AND 6 AND day <= z, FALSE)")
 def calendar_unresolved(spark: SparkSession, d: str) -> DataFrame:
     """Captured lessons that get no day."""
-    return joins.resolve_days(table(spark, d, "raw_event"), _calendar(spark, d))[1].select("raw_id")
+    return joins.resolve_days(table(spark, d, "raw_event"), _calendar(spark, d), calendar=["course"])[1].select("raw_id")
+
+
+@query(f"{_DAY_SQL} SELECT raw_id, a AS week_from, z AS week_to FROM placed")
+def week_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Captured lessons with the days of their academic week, without a day of their own."""
+    return joins.with_week_ranges(table(spark, d, "raw_event"), _calendar(spark, d), calendar=["course"]).select("raw_id", "week_from", "week_to")
 
 
 @query(f"""
-WITH cal AS (SELECT week_number, min({{'a': from_date, 'z': to_date}}) AS w FROM academic_week WHERE academic_year = '2026/2027' AND from_date <= to_date GROUP BY week_number),
+WITH {_CAL_SQL},
 wk AS (SELECT DISTINCT rule_id, week_number FROM ({ORACLE["week_lists"]})),
-gr AS (SELECT rule_id, weekday, unnest(CASE WHEN audience = 'ALL' OR groups_list IS NULL OR len(groups_list) = 0 THEN ['ALL'] ELSE list_distinct(groups_list) END) AS group_code FROM manual_rule),
-x AS (SELECT g.rule_id, g.group_code, c.w.z AS z, CAST(c.w.a + CAST((g.weekday - 1 - (isodow(c.w.a) - 1) + 7) % 7 AS INT) AS DATE) AS day FROM gr g JOIN wk USING (rule_id) JOIN cal c USING (week_number) WHERE g.weekday BETWEEN 1 AND 7)
+gr AS (SELECT rule_id, course, weekday, unnest(CASE WHEN audience = 'ALL' OR groups_list IS NULL OR len(groups_list) = 0 THEN ['ALL'] ELSE list_distinct(groups_list) END) AS group_code FROM manual_rule),
+x AS (SELECT g.rule_id, g.group_code, c.z AS z, CAST(c.a + CAST((g.weekday - 1 - (isodow(c.a) - 1) + 7) % 7 AS INT) AS DATE) AS day FROM gr g JOIN wk USING (rule_id) JOIN cal c USING (course, week_number) WHERE g.weekday BETWEEN 1 AND 7)
 SELECT rule_id, group_code, count(*) AS days, min(day) AS first_day, max(day) AS last_day FROM x WHERE day <= z GROUP BY ALL""")
 def rules_expanded(spark: SparkSession, d: str) -> DataFrame:
     """Typed rules spread over their weeks and groups."""
     r = table(spark, d, "manual_rule")
     everybody = (F.col("audience") == "ALL") | F.col("groups_list").isNull() | (F.size("groups_list") == 0)
     groups = F.when(F.coalesce(everybody, F.lit(False)), F.array(F.lit("ALL"))).otherwise(F.array_distinct("groups_list"))
-    rows = r.select("rule_id", (F.col("weekday") - 1).alias("weekday"), F.explode(text.week_list(F.col("weeks_spec"))).alias("week_number"), groups.alias("g"))
-    days = joins.resolve_days(rows, _calendar(spark, d))[0].select("rule_id", "event_date", F.explode("g").alias("group_code"))
+    rows = r.select("rule_id", "course", (F.col("weekday") - 1).alias("weekday"), F.explode(text.week_list(F.col("weeks_spec"))).alias("week_number"), groups.alias("g"))
+    days = joins.resolve_days(rows, _calendar(spark, d), calendar=["course"])[0].select("rule_id", "event_date", F.explode("g").alias("group_code"))
     return days.groupBy("rule_id", "group_code").agg(F.count("*").alias("days"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
 
 
@@ -273,7 +285,7 @@ def recurrences(spark: SparkSession, d: str) -> DataFrame:
 WITH e AS (SELECT DISTINCT event_id, teacher, event_date, {_minutes("start_time")} AS a, {_minutes("end_time")} AS z FROM schedule_event WHERE teacher IS NOT NULL AND event_date IS NOT NULL)
 SELECT l.event_id, count(*) AS overlaps FROM e l JOIN e r ON l.teacher = r.teacher AND l.event_date = r.event_date AND l.event_id <> r.event_id AND l.a < r.z AND r.a < l.z GROUP BY l.event_id""")
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Other events of the same teacher that overlap."""
+    """Other events of the same teacher that overlap."""
     e = table(spark, d, "schedule_event").where("teacher IS NOT NULL AND event_date IS NOT NULL")
     e = e.select("event_id", "teacher", "event_date", minutes_of_day(F.col("start_time")).alias("a"), minutes_of_day(F.col("end_time")).alias("z")).distinct()
     other = e.select("teacher", "event_date", F.col("event_id").alias("other_id"), F.col("a").alias("b"), F.col("z").alias("y"))
@@ -306,7 +318,7 @@ WITH p AS (SELECT DISTINCT program_code, course, group_code, subject, ingested_o
 x AS (SELECT p.*, min({'t': e.event_date, 'x': e.event_id}) AS n FROM p LEFT JOIN schedule_event e ON e.program_code = p.program_code AND e.course = p.course AND e.group_code = p.group_code AND e.subject = p.subject AND e.event_date > p.ingested_on GROUP BY ALL)
 SELECT program_code, course, group_code, subject, ingested_on, n.t AS next_start, n.x AS next_event_id FROM x WHERE group_code IS NOT NULL AND subject IS NOT NULL""")
 def next_lesson(spark: SparkSession, d: str) -> DataFrame:
-    """The next lesson of a group's subject after each day of delivery."""
+    """The next lesson of a group's subject after each day of delivery."""
     e = table(spark, d, "schedule_event").where("group_code IS NOT NULL AND subject IS NOT NULL")
     on = ["program_code", "course", "group_code", "subject"]
     probes = e.where("ingested_on IS NOT NULL").select(*on, "ingested_on").distinct()
@@ -353,7 +365,7 @@ _PATCH_SQL = " AND ".join(f"b.{k} IS NOT DISTINCT FROM a.{k}" for k in _PATCH)
 WITH base AS (SELECT * FROM raw_event WHERE captured_at < TIMESTAMP '2027-01-15'), patch AS (SELECT * FROM raw_event WHERE captured_at >= TIMESTAMP '2027-01-15')
 SELECT raw_id FROM base a WHERE NOT EXISTS (SELECT 1 FROM patch b WHERE {_PATCH_SQL}) UNION ALL SELECT raw_id FROM patch""")
 def overrides(spark: SparkSession, d: str) -> DataFrame:
-    """Later captures in place of earlier ones of the same slot."""
+    """Later captures in place of earlier ones of the same slot."""
     r = table(spark, d, "raw_event")
     cut = F.lit("2027-01-15").cast("timestamp_ntz")
     return joins.upsert(r.where(F.col("captured_at").cast("timestamp_ntz") < cut), r.where(F.col("captured_at").cast("timestamp_ntz") >= cut), _PATCH).select("raw_id")
@@ -370,13 +382,16 @@ def last_good(spark: SparkSession, d: str) -> DataFrame:
     return joins.last_good(r.where(at >= cut), r.where(at < cut), failed, "source_url", _PATCH).select("raw_id")
 
 
+_PARSERS = ("pdf-grid", "pdf-text", "xlsx", "html", "universal")
+
+
 @query(f"""
-WITH a AS (SELECT * FROM raw_event WHERE parser_name = 'pdf-grid'), z AS (SELECT * FROM raw_event WHERE parser_name = 'pdf-text')
-SELECT raw_id FROM a UNION ALL SELECT raw_id FROM z a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE {_PATCH_SQL})""")
+WITH r AS (SELECT *, list_position([{", ".join(f"'{p}'" for p in _PARSERS)}], parser_name) AS rank FROM raw_event)
+SELECT raw_id, parser_name FROM (SELECT *, min(rank) OVER (PARTITION BY {", ".join(_PATCH)}) AS best FROM r WHERE rank > 0) WHERE rank = best""")
 def parser_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two parsers' lessons, the first one's where both have the slot."""
-    r = table(spark, d, "raw_event")
-    return dedupe.union_first_wins(r.where("parser_name = 'pdf-grid'"), r.where("parser_name = 'pdf-text'"), _PATCH).select("raw_id")
+    """All parsers' lessons, for each slot those of the first parser that has it."""
+    rank = F.nullif(F.array_position(F.array(*map(F.lit, _PARSERS)), F.col("parser_name")), F.lit(0))
+    return dedupe.keep_lowest_rank(table(spark, d, "raw_event"), _PATCH, rank).select("raw_id", "parser_name")
 
 
 @query("""
@@ -395,6 +410,7 @@ def blank_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _RULES_SQL = {
     "no day": "event_date IS NULL",
+    "no clock": "NOT COALESCE(regexp_matches(start_time, '^\\s*([01]?\\d|2[0-3])[:.][0-5]\\d([:.][0-5]\\d)?\\s*$') AND regexp_matches(end_time, '^\\s*([01]?\\d|2[0-3])[:.][0-5]\\d([:.][0-5]\\d)?\\s*$'), FALSE)",
     "ends before it starts": "z <= a",
     "longer than four hours": "z - a > 240",
     "duration differs": "duration_minutes <> z - a",
@@ -407,7 +423,7 @@ _RULES_SQL = {
 
 @query("SELECT issue, count(*) AS rows_hit FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS issue FROM ({_SPLIT_SQL}) WHERE {v}" for k, v in _RULES_SQL.items()) + ") GROUP BY issue")
 def issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Broken rules counted over all events."""
+    """Broken rules counted over all events (V2)."""
     return coverage.issues(table(spark, d, "schedule_event"), "event_id", coverage.event_rules()).groupBy("issue").agg(F.count("*").alias("rows_hit"))
 
 
@@ -445,19 +461,6 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.short_id(F.col("doc_id"), F.col("source")).alias("short_id"), F.sha2("text", 256).alias("digest"), text.page_address(F.col("source_url")).alias("page"))
 
 
-_ROW = ["event_id", "program_code", "course", "group_code", "event_date", "start_time", "end_time", "subject", "location_text", "teacher"]
-
-
-@query(f"""
-WITH n AS (SELECT max(snapshot_no) AS z, max(snapshot_no) FILTER (snapshot_no < (SELECT max(snapshot_no) FROM event_snapshot)) AS a FROM event_snapshot),
-b AS (SELECT {", ".join(_ROW)} FROM event_snapshot WHERE snapshot_no = (SELECT a FROM n)), c AS (SELECT {", ".join(_ROW)} FROM event_snapshot WHERE snapshot_no = (SELECT z FROM n))
-SELECT *, 'removed' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM b)""")
-def delivery_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that only one of the last two deliveries has, by the columns of ``_ROW``: streams and kinds of lessons aren't compared (``delivery_diff_whole`` does)."""
-    before, after = _last_deliveries(spark, d)
-    return sinks.table_diff(before.select(*_ROW), after.select(*_ROW))
-
-
 _ARRIVAL = ("snapshot_no", "received_at")
 
 
@@ -465,25 +468,12 @@ _ARRIVAL = ("snapshot_no", "received_at")
 WITH n AS (SELECT max(snapshot_no) AS z, max(snapshot_no) FILTER (snapshot_no < (SELECT max(snapshot_no) FROM event_snapshot)) AS a FROM event_snapshot),
 b AS (SELECT * EXCLUDE ({", ".join(_ARRIVAL)}) FROM event_snapshot WHERE snapshot_no = (SELECT a FROM n)), c AS (SELECT * EXCLUDE ({", ".join(_ARRIVAL)}) FROM event_snapshot WHERE snapshot_no = (SELECT z FROM n))
 SELECT *, 'removed' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM c) UNION ALL SELECT *, 'added' FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM b)""")
-def delivery_diff_whole(spark: SparkSession, d: str) -> DataFrame:
+def delivery_diff(spark: SparkSession, d: str) -> DataFrame:
     """Rows that only one of the last two deliveries has, by every column but number and time of arrival."""
-    return sinks.table_diff(*_last_deliveries(spark, d), ignore=_ARRIVAL)
-
-
-def _last_deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, d, "event_snapshot")
-    last = s.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).agg(F.max("snapshot_no").alias("z"), F.min("snapshot_no").alias("a"))
-    of = lambda c: s.join(last, F.col("snapshot_no") == F.col(c), "left_semi")
-    return of("a"), of("z")
-
-
-@query("""
-WITH h AS (SELECT sha256(concat_ws(chr(1), COALESCE('=' || CAST(roster_id AS VARCHAR), '0'), COALESCE('=' || group_code, '0'), COALESCE('=' || source_url, '0'))) AS x FROM roster),
-s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(x, 1, 8) AS BIGINT)) AS a, sum(CAST('0x' || substr(x, 9, 8) AS BIGINT)) AS b FROM h)
-SELECT n AS total_rows, substr(sha256(n || '|' || a || '|' || b), 1, 16) AS fingerprint FROM s""")
-def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A fingerprint of who is listed: three columns of the roster (``table_fingerprints`` has whole tables)."""
-    return sinks.fingerprint(table(spark, d, "roster"), ["roster_id", "group_code", "source_url"])
+    last = [r[0] for r in s.where("snapshot_no IS NOT NULL").select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()]  # two numbers, which the scans are filtered by
+    of = lambda k: s.where(F.col("snapshot_no") == last[k]) if k < len(last) else s.limit(0)
+    return sinks.table_diff(of(1), of(0), ignore=_ARRIVAL)
 
 
 # The columns are for SQL only: the query takes those that a table has.
@@ -520,10 +510,10 @@ def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return marks.withColumn("all_tables", F.substring(F.sha2(F.array_join(each, "|"), 256), 1, 16))
 
 
-@query("SELECT event_date, list_transform(list_sort(list(DISTINCT {'s': start_time, 'e': event_id})), lambda x: x.e) AS event_ids FROM schedule_event WHERE event_date IS NOT NULL GROUP BY event_date")
+@query("SELECT program_code, course, group_code, event_date, list_transform(list_sort(list(DISTINCT {'s': start_time, 'e': event_id})), lambda x: x.e) AS event_ids FROM schedule_event WHERE event_date IS NOT NULL GROUP BY ALL")
 def by_day(spark: SparkSession, d: str) -> DataFrame:
-    """The events of each day in order."""
-    return scope.by_day(table(spark, d, "schedule_event"))
+    """The events of each group's day in order."""
+    return scope.by_day(table(spark, d, "schedule_event"), ["program_code", "course", "group_code"])
 
 
 _ESC = lambda c: f"regexp_replace(regexp_replace({c}, '([\\\\,;])', '\\\\\\1', 'g'), '\\r?\\n', '\\\\n', 'g')"
@@ -551,17 +541,17 @@ def html_tables(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT doc_id, lower(COALESCE(text, '')) AS x FROM documents),
 s AS (SELECT doc_id, len(list_distinct(regexp_extract_all(x, 'недел[ияюь]\\s+(\\d{1,2})', 1))) AS weeks, len(list_distinct(regexp_extract_all(x, 'групп[аыу]\\s+(\\d{3})', 1))) AS groups,
-  len(regexp_extract_all(x, 'понедельник|вторник|сред[ау]|четверг|пятниц[ау]|суббот[ау]')) AS days, len(regexp_extract_all(x, '\\d{1,2}:\\d{2}')) AS clocks, 0.5 AS vector FROM t),
+  len(regexp_extract_all(x, 'понедельник|вторник|сред[ау]|четверг|пятниц[ау]|суббот[ау]')) AS days, len(regexp_extract_all(x, '\\d{1,2}:\\d{2}')) AS clocks, CASE WHEN x = '' THEN 0.0 ELSE len(list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[|\\t│]')))::DOUBLE / len(string_split(x, chr(10))) END AS vector FROM t),
 g AS (SELECT *, least(1.0, least(1.0, weeks / 15.0) * 0.45 + least(1.0, groups / 8.0) * 0.35 + vector * 0.2) AS score FROM s)
 SELECT doc_id, round(score, 6) AS grid_score, CASE WHEN score >= 0.58 AND weeks >= 8 THEN 'weekly-matrix' WHEN days > 0 AND clocks > 0 AND groups >= 2 THEN 'daily-grid' WHEN days > 0 AND clocks > 0 THEN 'daily-list' ELSE 'unknown' END AS layout,
   round(CASE WHEN score >= 0.58 AND weeks >= 8 THEN least(0.99, 0.55 + least(1.0, weeks / 15.0) * 0.35 + least(1.0, groups / 8.0) * 0.1) WHEN days > 0 AND clocks > 0 AND groups >= 2 THEN least(0.97, 0.55 + least(1.0, days / 5.0) * 0.25 + least(1.0, groups / 8.0) * 0.2) WHEN days > 0 AND clocks > 0 THEN 0.78 ELSE 0.35 END, 6) AS confidence FROM g""")
 def layouts(spark: SparkSession, d: str) -> DataFrame:
-    """The layout that a document's words speak for."""
+    """The layout that a document's words and the share of its lines with column signs speak for."""
     x = F.lower(F.coalesce("text", F.lit("")))
     found = lambda p, k=0: F.regexp_extract_all(x, F.lit(p), F.lit(k))
     signals = table(spark, d, "documents").select(
         "doc_id", F.size(F.array_distinct(found(r"недел[ияюь]\s+(\d{1,2})", 1))).alias("weeks"), F.size(F.array_distinct(found(r"групп[аыу]\s+(\d{3})", 1))).alias("groups"),
-        F.size(found("понедельник|вторник|сред[ау]|четверг|пятниц[ау]|суббот[ау]")).alias("days"), F.size(found(r"\d{1,2}:\d{2}")).alias("clocks"), F.lit(0.5).alias("vector"),
+        F.size(found("понедельник|вторник|сред[ау]|четверг|пятниц[ау]|суббот[ау]")).alias("days"), F.size(found(r"\d{1,2}:\d{2}")).alias("clocks"), F.when(x == "", 0.0).otherwise(F.size(F.filter(F.split(x, "\n"), lambda v: v.rlike(r"[|\t│]"))) / F.size(F.split(x, "\n"))).alias("vector"),
     )
     return grid.layout(signals).select("doc_id", "grid_score", "layout", "confidence")
 

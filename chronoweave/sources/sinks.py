@@ -61,10 +61,15 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def table_diff(before: DataFrame, after: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that only one of two tables has, as often as it has more of them: the columns and ``side`` (removed, added)."""
+    """Rows that only one of two tables has, as often as it has more of them: the columns and ``side`` (removed, added).
+
+    Both tables are read once and counted against each other in one aggregation with a combine before the shuffle.
+    """
     columns = [c for c in after.columns if c not in ignore]
-    b, a = before.select(*columns), after.select(*columns)
-    return b.exceptAll(a).withColumn("side", F.lit("removed")).unionByName(a.exceptAll(b).withColumn("side", F.lit("added")))
+    both = before.select(*columns, F.lit(-1).alias("__n")).unionByName(after.select(*columns, F.lit(1).alias("__n")))
+    more = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    times = F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int")))
+    return more.select(*columns, F.when(F.col("__n") > 0, "added").otherwise("removed").alias("side"), times.alias("__t")).drop("__t")
 
 
 def ics_entries(events: DataFrame, zone: str = "Europe/Moscow") -> DataFrame:

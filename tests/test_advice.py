@@ -23,7 +23,7 @@ def test_stream_or_kind_alone_is_a_difference(spark, tmp_path):
 
     rows = [row(n, e, *v) for e, old, new in (("same", ("A", "x"), ("A", "x")), ("stream", ("A", "x"), ("B", "x")), ("kind", ("A", "x"), ("A", None))) for n, v in ((1, old), (3, new))]
     spark.createDataFrame(rows, EVENT).write.parquet(str(tmp_path / "event_snapshot.parquet"))
-    got = {(r.event_id, r.stream_code, r.lesson_type, r.side) for r in registry.QUERIES["delivery_diff_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.event_id, r.stream_code, r.lesson_type, r.side) for r in registry.QUERIES["delivery_diff"](spark, str(tmp_path)).collect()}
     assert got == {("stream", "A", "x", "removed"), ("stream", "B", "x", "added"), ("kind", "A", "x", "removed"), ("kind", "A", None, "added")}
 
 
