@@ -76,14 +76,14 @@ def row_lessons(grid: DataFrame, kind: str = "practice", course: str = "") -> Da
     return lessons.withColumns({"start_time": F.col("r.start_time"), "end_time": F.col("r.end_time")}).select(*_OUT)
 
 
-def paged_lessons(cells: DataFrame, course: str) -> DataFrame:
+def paged_lessons(cells: DataFrame, course: str = "") -> DataFrame:
     """The lessons of a daily grid that goes over pages (``page``; G21): day in the first column, clocks in the second, a column per
     group. Group columns are read anew on every page that names groups of the course and carried on to those that don't; the
     day is carried over pages. Of two clocks in a row the lesson's place tells which one counts. Lessons without weeks are left out.
     ``doc``, ``page``, ``row``, ``weekday``, ``start_time``, ``end_time``, ``group_code``, ``subject``, ``week_number``, ``place``.
     """
     text = clean_text(F.col("text"))
-    named = cells.where(text.rlike(rf"^{course[:1]}[0-9]{{2}}$")).groupBy("doc", "page", text.alias("group_code")).agg(F.max_by("col", "row").alias("col"))
+    named = cells.where(text.rlike(rf"^{course[:1] or '[0-9]'}[0-9]{{2}}$")).groupBy("doc", "page", text.alias("group_code")).agg(F.max_by("col", "row").alias("col"))
     pages = cells.select("doc", "page").distinct().join(named.select("doc", "page", F.col("page").alias("own")).distinct(), ["doc", "page"], "left")
     carried = F.last("own", ignorenulls=True).over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
     columns = pages.withColumn("own", carried).join(named.withColumnRenamed("page", "own"), ["doc", "own"]).select("doc", "page", "group_code", "col")

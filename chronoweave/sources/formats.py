@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -167,10 +168,16 @@ def _office_rows(data: bytes, part: str) -> list[tuple[int, int, str]]:
 
 
 def _csv(data: bytes) -> list[tuple[int, int, str]]:
-    """Comma, semicolon or tab, whichever there is most of; a byte order mark is no text."""
-    text = decoded(data) or ""
-    sign = max(",;\t", key=text.count)
-    return [(r, c, x) for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=sign)) for c, x in enumerate(row) if x]
+    """Comma, semicolon or tab: the sign by which most rows have one and the same number of cells, more than one. A byte order
+    mark is no text."""
+    text, best, most = decoded(data) or "", [], (-1, 0)
+    for sign in ",;\t":
+        rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=sign))
+        width, n = max(Counter(map(len, rows)).items(), key=lambda x: (x[0] > 1, x[1], x[0]), default=(0, 0))
+        score = (n if width > 1 else 0, width)
+        if score > most:
+            best, most = rows, score
+    return [(r, c, x) for r, row in enumerate(best) for c, x in enumerate(row) if x]
 
 
 _READERS: dict[str, Callable[[bytes], list[tuple[int, int, str]]]] = {
