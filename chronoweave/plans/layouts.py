@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from chronoweave.functions.text import clean_text
 from chronoweave.operators import documents, geometry, grid, rows
-from chronoweave.sources import formats
+from chronoweave.sources import formats, pdf
 from chronoweave.sources.tables import table
 
 _DAYS = ("Понедельник", "Вторник", "Среда", "Четверг", "Пятница", "Суббота", "Воскресенье")
@@ -230,6 +231,40 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
     return formats.file_grids(_lists(spark, d).select(F.concat("chair_code", F.when(F.col("k") % 3 == 2, ".xlsx").otherwise(".csv")).alias("path"), content.alias("content"))).where("text <> ''")
 
 
+def _pdf(lines: list[list[str]], packed: bool) -> bytes:
+    """A small PDF: forty lines a page, each text of a line shown on its own, codes that only the font's map makes letters."""
+    out: list[bytes] = [b"%PDF-1.5\n"]
+    pages = [lines[k : k + 40] for k in range(0, len(lines), 40)]
+
+    def add(number: int, head: str, body: bytes | None = None) -> None:
+        if body is not None:
+            body = zlib.compress(body) if packed else body
+            head = f"<< /Length {len(body)} {'/Filter /FlateDecode ' if packed else ''}>>"
+        out.append(f"{number} 0 obj\n{head}\n".encode() + (b"stream\n" + body + b"\nendstream\n" if body is not None else b"") + b"endobj\n")
+
+    add(1, "<< /Type /Catalog /Pages 2 0 R >>")
+    add(2, f"<< /Type /Pages /Kids [{' '.join(f'{10 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} /MediaBox [0 0 600 800] /Resources << /Font << /F1 3 0 R >> >> >>")
+    add(3, "<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [<< /DW 500 >>] >>")
+    add(4, "", b"1 beginbfrange <0000> <FFFF> <0000> endbfrange")
+    for k, page in enumerate(pages):
+        show = lambda t: f"<{t.encode('utf-16-be').hex()}> Tj"
+        body = "q 1 0 0 1 0 0 cm BT /F1 9 Tf 12 TL " + " ".join(f"1 0 0 1 {30 + 150 * c} {780 - 15 * r} Tm {show(t)}" for r, line in enumerate(page) for c, t in enumerate(line) if t) + " ET Q"
+        add(10 + 2 * k, f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>")
+        add(11 + 2 * k, "", body.encode())
+    return b"".join([*out, b"trailer << /Root 1 0 R >>\n%%EOF"])
+
+
+@F.pandas_udf(T.BinaryType())
+def _pdf_file(packed: pd.Series, lines: pd.Series) -> pd.Series:
+    return pd.Series([_pdf([list(x) for x in rows_], p) for p, rows_ in zip(packed, lines, strict=True)])
+
+
+def pdf_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each chair's rules as a PDF, packed or not, its texts read with their places and brought into lines."""
+    files = _lists(spark, d).select(F.concat("chair_code", F.lit(".pdf")).alias("path"), _pdf_file(F.col("k") % 2 == 0, "lines").alias("content"))
+    return geometry.lines(pdf.pdf_tokens(files)).select("doc", "page", "line", "text")
+
+
 def file_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Formats of files made of documents, by their content."""
     k = F.col("doc_id") % 6
@@ -307,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sheet_lessons, lecture_sheets, paged_sheets, cells_by_group, reading_issues, two_readers, matrix_sheets, merged_cells, headers_found, group_rows, places_ahead, listed, previews, best_links,
-        office_files, text_files, file_kinds, best_readings, page_lines, word_columns, week_rows, drawn_matrix, text_matrix, clusters,
+        office_files, text_files, pdf_lines, file_kinds, best_readings, page_lines, word_columns, week_rows, drawn_matrix, text_matrix, clusters,
     )
 }
 
@@ -353,6 +388,7 @@ b AS (SELECT program, c, arg_max(url, ROW(y, url)) AS url FROM s WHERE y >= 2026
 SELECT g.program_code AS program, g.course AS course_number, COALESCE(b.url, concat_ws('/', 'fallback', g.program_code, g.course)) AS url, CASE WHEN b.url IS NULL THEN 'fallback' ELSE 'found' END AS origin FROM (SELECT DISTINCT program_code, course FROM group_ref) g LEFT JOIN b ON b.program = g.program_code AND b.c = g.course""",
     "office_files": f"SELECT chair_code || '.bin' AS doc, ['xlsx', 'ods', 'docx', 'pptx'][k % 4 + 1] AS format, row, col, text FROM ({_LISTED}) WHERE text <> ''",
     "text_files": f"SELECT chair_code || CASE WHEN k % 3 = 2 THEN '.xlsx' ELSE '.csv' END AS doc, CASE WHEN k % 3 = 2 THEN 'html' ELSE 'csv' END AS format, row, col, text FROM ({_LISTED}) WHERE text <> ''",
+    "pdf_lines": f"SELECT chair_code || '.pdf' AS doc, row // 40 + 1 AS page, row % 40 AS line, string_agg(text, ' ' ORDER BY col) AS text FROM ({_LISTED}) WHERE text <> '' GROUP BY ALL",
     "file_kinds": """
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 3 THEN CASE WHEN doc_id % 4 = 1 THEN 'doc' ELSE 'xls' END WHEN 4 THEN 'rtf'
   ELSE CASE WHEN doc_id % 6 = 1 OR regexp_matches(t, '<\\s*(!doctype\\s+html|html\\b|table\\b|tr\\b|td\\b|th\\b)', 'i') THEN 'html' WHEN doc_id % 6 = 2 OR substr(ltrim(t, ' ' || chr(65279) || chr(13) || chr(10) || chr(9)), 1, 1) IN ('{', '[') THEN 'json' WHEN t = '' THEN 'empty'

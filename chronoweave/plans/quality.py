@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.clock import minutes_of_day
 from chronoweave.operators import coverage, dedupe, islands, joins, orders, recurrence, scope
+from chronoweave.sources import payload
 from chronoweave.sources.tables import table
 from chronoweave.streaming.batches import newest_rows, usable
 
@@ -233,11 +234,23 @@ def source_roles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("program_code", "course", "role", F.when(F.col("a"), "found").when(F.col("b"), "fallback").otherwise("missing").alias("origin"))
 
 
+def payload_lessons(spark: SparkSession, d: str) -> DataFrame:
+    """Events as delivered, a JSON payload for each group's day with aliases, read by the payload's shape and flattened."""
+    e = table(spark, d, "schedule_event").where("event_date IS NOT NULL AND group_code RLIKE '^[0-9]{3}[А-Я]?$'")
+    day, odd = F.date_format("event_date", "d.M.yyyy"), F.col("course") % 2 == 1
+    event = F.struct(F.col("event_id").alias("id"), F.when(odd, day).alias("date"), F.when(~odd, day).alias("dateHint"), F.concat_ws(" - ", "start_time", "end_time").alias("time"), F.when(odd, F.lit("Предмет")).alias("discipline"), F.when(~odd, F.lit("Предмет")).alias("name"), F.array("group_code").alias("groups"))
+    one = e.dropDuplicates(["event_id", "group_code", "event_date"]).groupBy("program_code", "course", "group_code", "event_date").agg(F.collect_list(event).alias("events"))
+    text = F.to_json(F.struct(F.lit(7).alias("schemaVersion"), F.lit("x").alias("generatedAt"), F.col("program_code").alias("specialty"), F.create_map(F.concat("course", F.lit(" курс")), F.struct("events")).alias("courses")))
+    payloads = one.select(F.from_json(text, payload.PAYLOAD).alias("p")).select("p.*")
+    good = payloads.where("schemaVersion IS NOT NULL")
+    return payload.payload_events(good).select("event_id", "program_code", "course", "group_code", "event_date", "start_time", "end_time", "double_part", "subject")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lesson_issues, exact_duplicates, set_aside, rule_issues, few_events, readiness, lessons_merged, filled_blocks, older_duplicates, block_duplicates, period_duplicates, period_sources, resolved_sources, now_and_next, owned_hits, older_scope,
-        complete_lessons, listing_places, deadlines, newest_hits, usable_snapshots, both_kinds, payload_issues, payloads_taken, changed_series, owner_range, source_roles,
+        complete_lessons, listing_places, deadlines, newest_hits, usable_snapshots, both_kinds, payload_issues, payloads_taken, changed_series, owner_range, source_roles, payload_lessons,
     )
 }
 
@@ -343,6 +356,11 @@ WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 h AS (SELECT *, user_id % 11 <> 0 AND CASE user_id % 3 WHEN 0 THEN i = 5 WHEN 1 THEN i >= 5 ELSE TRUE END AS hit FROM r)
 SELECT event_id, CAST(user_id % 2 AS VARCHAR) AS owner_id, CASE WHEN hit AND user_id % 3 > 0 THEN 'n' ELSE 's' END || user_id AS series_id, CASE WHEN hit AND user_id % 3 = 1 THEN i - 5 ELSE i END AS occurrence_index, CASE WHEN hit AND user_id % 3 = 0 THEN NULL ELSE 'daily' END AS frequency FROM h WHERE NOT (hit AND user_id % 5 = 0)""",
     "owner_range": "SELECT event_id, ts AS start_at, event_type AS title FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND ts + INTERVAL 2 HOUR > TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'",
+    "payload_lessons": f"""
+WITH e AS (SELECT DISTINCT event_id, program_code, course, group_code, event_date, start_time, end_time, {_MIN("start_time")} AS a, {_MIN("end_time")} AS z FROM schedule_event WHERE event_date IS NOT NULL AND regexp_full_match(group_code, '[0-9]{{3}}[А-Я]?')),
+c AS (SELECT *, unnest(CASE WHEN z - a IN (185, 205) THEN [1, 2] ELSE [0] END) AS p, (z - a - 15) // 2 AS half FROM e WHERE a < z),
+t AS (SELECT *, CASE WHEN p = 2 THEN a + half + 15 ELSE a END AS s, CASE WHEN p = 1 THEN a + half ELSE z END AS f FROM c)
+SELECT concat_ws('-', event_id, CAST(event_date AS VARCHAR), group_code, p) AS event_id, program_code, course, group_code, event_date, lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS start_time, lpad((f // 60)::VARCHAR, 2, '0') || ':' || lpad((f % 60)::VARCHAR, 2, '0') AS end_time, CASE WHEN p > 0 THEN CAST(p AS INT) END AS double_part, 'Предмет' AS subject FROM t""",
     "source_roles": """
 WITH h AS (SELECT DISTINCT CASE WHEN contains(url, '_370501_') THEN '37.05.01' WHEN contains(url, '_310502_') THEN '31.05.02' WHEN contains(url, '_310501_') THEN '31.05.01' END AS p, CAST(nullif(regexp_extract(url, '_([1-6])k_', 1), '') AS INT) AS c, CASE WHEN contains(url, '/lec_') THEN 'lecture' WHEN contains(url, '/prak_') THEN 'practice' END AS role FROM source_provenance)
 SELECT n.program_code, n.course, n.role, CASE WHEN h.p IS NOT NULL THEN 'found' WHEN n.role = 'practice' THEN 'fallback' ELSE 'missing' END AS origin FROM (SELECT program_code, course, unnest(['lecture', 'practice', 'calendar']) AS role FROM (SELECT DISTINCT program_code, course FROM group_ref)) n LEFT JOIN h ON h.p = n.program_code AND h.c = n.course AND h.role = n.role""",
