@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.temporal import day_in_week
-from chronoweave.operators.references import packed_key
 
 
 def resolve_days(blocks: DataFrame, weeks: DataFrame, number: str = "week_number", weekday: str = "weekday", calendar: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -111,8 +110,8 @@ def slot_conflicts(events: DataFrame, slot: Sequence[str], content: Sequence[str
     Rows are counted per slot and content before the slot is looked at, so that a slot with a third of all rows costs its
     different contents only.
     """
-    own = F.md5(packed_key(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]))
-    counted = events.groupBy(*slot, own.alias("__own")).agg(F.count("*").alias("__n"), F.min(F.struct(*order)).alias("__first"))
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__own{k}") for k, c in enumerate(content)]
+    counted = events.groupBy(*slot, *own).agg(F.count("*").alias("__n"), F.min(F.struct(*order)).alias("__first"))
     sums = counted.groupBy(*slot).agg((F.sum("__n") - F.min(F.struct("__first", "__n"))["__n"]).alias("conflicts"))
     return sums.where("conflicts > 0")
 
