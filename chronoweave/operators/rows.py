@@ -100,7 +100,7 @@ def paged_lessons(cells: DataFrame, course: str = "") -> DataFrame:
 
 # Words with which a place begins in a cell of a week matrix, besides the buildings.
 MARKERS = ("обл", "гб", "база", "родильный", "менделеевская", "ул", "просп", "звездная", "ногина", "поленов", "вредена", "больница", "госпиталь", "лоптд", "гптд")
-PHRASES = (("с", "использованием", "дот"), ("центр", "алмазова"), ("институт", "мозга"))
+PHRASES = (("с", "использованием", "дот"), ("институт", "мозга"))
 
 
 def matrix_cell(text: str | None) -> tuple[str | None, str]:
